@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcode.llm import broken_files, handwritten
+from loomcode.llm import broken_files, handwritten, residue
 from loomcode.session import load
 
 
@@ -26,11 +26,21 @@ def p5_origins(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.origin_counts(load(spark, d, "files"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(load(spark, d, "documents")).select("doc_id")
+
+
+def p8_messages(spark: SparkSession, d: str) -> DataFrame:
+    return residue.recurring_messages(load(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
+    "p8_found": p8_found,
+    "p8_messages": p8_messages,
 }
 
 SQL: dict[str, str] = {}
