@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcode.llm import broken_files, handwritten, residue
+from loomcode.llm import broken_files, handwritten, leakage, residue
 from loomcode.session import load
 
 
@@ -26,6 +26,14 @@ def p5_origins(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.origin_counts(load(spark, d, "files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p6_suites(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(load(spark, d, "documents")).select("doc_id")
 
@@ -39,8 +47,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_rates": p3_rates,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
+    "p6_found": p6_found,
+    "p6_suites": p6_suites,
     "p8_found": p8_found,
     "p8_messages": p8_messages,
 }
 
-SQL: dict[str, str] = {}
+_RUNS = """
+WITH iw AS (SELECT item_id, suite, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM iw, unnest(range(1, len(w) - 11)) AS t(k)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM dw, unnest(range(1, len(w) - 11)) AS t(k)),
+p AS (SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g))
+"""
+
+SQL: dict[str, str] = {
+    "p6_found": _RUNS + "SELECT item_id, doc_id FROM p",
+    "p6_suites": _RUNS
+    + """SELECT coalesce(suite, 'unknown') AS suite, count(DISTINCT i.item_id) AS n_items, count(DISTINCT p.item_id) AS n_leaked_items, count(DISTINCT p.doc_id) AS n_documents
+         FROM (SELECT DISTINCT item_id, suite FROM eval_items) i LEFT JOIN p USING (item_id) GROUP BY 1""",
+}
