@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcode.llm import broken_files, handwritten, leakage, residue
+from loomcode.llm import broken_files, function_docs, handwritten, leakage, mixing, residue
 from loomcode.session import load
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return function_docs.documented_functions(load(spark, d, "code_functions"), load(spark, d, "files"), with_code=False).select("path", "owner", "name").distinct()
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return function_docs.pairs(load(spark, d, "code_functions"), load(spark, d, "files"), load(spark, d, "code_units"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_files.broken_paths(load(spark, d, "files"))
 
@@ -34,6 +42,18 @@ def p6_suites(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.short_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p7_draws(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(load(spark, d, "documents"), load(spark, d, "mix_targets")).draws
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(load(spark, d, "documents")).select("doc_id")
 
@@ -43,12 +63,17 @@ def p8_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p5_found": p5_found,
     "p5_origins": p5_origins,
     "p6_found": p6_found,
     "p6_suites": p6_suites,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_draws": p7_draws,
     "p8_found": p8_found,
     "p8_messages": p8_messages,
 }
@@ -62,6 +87,11 @@ p AS (SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g))
 """
 
 SQL: dict[str, str] = {
+    # No source is near its limit, so sizes in bytes give the same answer as sizes in tokens.
+    "p7_found": """
+WITH s AS (SELECT lower(trim(source)) AS source, sum(strlen(text)) AS size FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+t AS (SELECT m.mix, m.source, m.target_share, m.max_repeats, coalesce(s.size, 0) AS size, sum(coalesce(s.size, 0)) OVER (PARTITION BY m.mix) AS total FROM mix_targets m LEFT JOIN s ON s.source = m.source)
+SELECT mix, source FROM t WHERE target_share * total > max_repeats * size""",
     "p6_found": _RUNS + "SELECT item_id, doc_id FROM p",
     "p6_suites": _RUNS
     + """SELECT coalesce(suite, 'unknown') AS suite, count(DISTINCT i.item_id) AS n_items, count(DISTINCT p.item_id) AS n_leaked_items, count(DISTINCT p.doc_id) AS n_documents
