@@ -1,8 +1,8 @@
 """Evaluation passages inside training text.
 
 The items' words form a BM25 inverted index with block maxima, which has a checked size bound and goes to every task.
-Each document is cut into passages that overlap by one word less than the length of a match, so every match lies whole
-in one passage. Each passage queries the index by block-max WAND. The threshold of an item is the smallest score that
+Each document is cut into passages at the words that no item has, long ones again so that they overlap by one word less
+than the length of a match: every match lies whole in one passage. Each passage queries the index by block-max WAND. The threshold of an item is the smallest score that
 any of its own windows of that length gives, so no passage that holds one can fall below it. What is retrieved is then
 checked word by word.
 """
@@ -40,6 +40,7 @@ class ItemIndex:
         self.run = run
         kept = [(i, w) for i, w in ((i, words(t)) for i, t in sorted(items)) if len(w) >= run]
         self.ids = [i for i, _ in kept]
+        self.stretch = re.compile(f"1{{{run},}}")
         self.texts = [" " + " ".join(w) + " " for _, w in kept]
         n = max(1, len(kept))
         average = sum(len(w) for _, w in kept) / n or 1
@@ -122,12 +123,10 @@ class ItemIndex:
         run, step, top = self.run, PASSAGE - self.run + 1, self.top
         if len(w) < run or not self.ids:
             return set()
-        bounds = [top.get(x, 0.0) for x in w]
         out: set[int] = set()
-        for at in range(0, max(1, len(w) - run + 1), step):
-            stop = at + PASSAGE
-            if sum(bounds[at:stop]) < self.least:  # counts repeated words again, so it is an upper bound
-                continue
+        # A word of no item ends a passage: no match can hold it. What stays is cut so that every match lies in one piece.
+        indexed = "".join(["1" if x in top else "0" for x in w])
+        for at, stop in ((k, min(k + PASSAGE, m.end())) for m in self.stretch.finditer(indexed) for k in range(m.start(), m.end() - run + 1, step)):
             passage = w[at:stop]
             terms = [x for x in dict.fromkeys(passage) if x in top]
             if sum(top[x] for x in terms) < self.least:

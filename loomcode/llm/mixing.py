@@ -117,7 +117,7 @@ def _meeting(seed: int, depth: int, last: bool):
     """Rounds one bucket; in the last level the record that stays fractional is rounded by chance."""
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "tokens"], kind="stable")
+        group = group.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")  # what stays fractional is small
         stream = _uniform(seed, depth, group["mix"].iat[0], group["source"].iat[0], int(group["bucket"].iat[0]))
         rounded = pivot(group["tokens"].tolist(), group["p"].tolist(), stream.random)
         if last:
