@@ -1,0 +1,194 @@
+"""Splitting oversized items at natural boundaries, by byte ranges.
+
+An item is read in ranges of a fixed number of bytes with a halo on both sides, so no task needs a whole item. The first
+good boundary after a range's nominal start is its anchor; both neighbours see the same bytes around it and so find the
+same anchor without a word between them. Each task cuts the stretch between two anchors into pieces; a prefix sum over
+the ranges' piece counts (in two levels) then numbers the pieces of an item.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomcode.functions.arrow import map_lists
+from loomcode.session import spread
+
+#: Bytes of a range, and ranges that share a first-level prefix sum.
+RANGE, PREFIX_BLOCK = 1 << 18, 1024
+BYTES_PER_TOKEN = 4
+
+
+def estimated_tokens(text: Column) -> Column:
+    """floor(bytes / 4); a null text has size 0."""
+    return F.coalesce(F.floor(F.octet_length(text) / BYTES_PER_TOKEN), F.lit(0))
+
+
+def _aligned(data: bytes, at: int) -> int:
+    """The start of the character at or before a position."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+# What stands before a cut, by preference.
+_BLANK_LINE = (b"\n\n", b"\n\r\n")
+_SENTENCE = (b". ", b"! ", b"? ", b"; ")
+_INDENTED = (b" ", b"\t", b"}", b")", b"]", b"\n", b"\r", b"")
+
+
+def _last(data: bytes, marks: tuple[bytes, ...], low: int, high: int) -> int:
+    """End of the last mark that ends in (low, high], or -1."""
+    return max((at + len(m) for m in marks if (at := data.rfind(m, max(0, low + 1 - len(m)), high)) >= 0), default=-1)
+
+
+def boundary(data: bytes, low: int, high: int, code: bool) -> int:
+    """The best place to cut in (low, high]: a blank line (in code one before unindented text, if there is any), a line
+    end, the end of a sentence, a space, else the start of a character. Of equal places the last."""
+    blank = at = _last(data, _BLANK_LINE, low, high)
+    while code and at > low and data[at : at + 1] in _INDENTED:
+        at = _last(data, _BLANK_LINE, low, at - 1)
+    for found in (at, blank, _last(data, (b"\n",), low, high), _last(data, _SENTENCE, low, high), _last(data, (b" ", b"\t"), low, high)):
+        if found > low:
+            return found
+    at = _aligned(data, high)
+    return at if at > low else high
+
+
+def cut_points(data: bytes, start: int, stop: int, limit: int, overlap: int, code: bool, first: bool) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of data[start:stop], none over ``limit`` bytes; each but an item's first reaches back
+    ``overlap`` bytes, to the start of a character."""
+    out = []
+    done = start
+    while done < stop:
+        begin = done if first and done == start else _aligned(data, max(0, done - overlap))
+        end = stop if stop - begin <= limit else boundary(data, max(done, begin + limit // 2), begin + limit, code)
+        out.append((begin, end))
+        done = end
+    return out
+
+
+def anchor(data: bytes, nominal: int, limit: int, code: bool) -> int:
+    """Where the pieces of one range end and those of the next begin: the first blank line, else line end, else
+    character start from the nominal position on."""
+    window = min(len(data), nominal + limit)
+    for mark in (b"\n\n", b"\n"):
+        at = data.find(mark, nominal, window)
+        if at >= 0:
+            return at + len(mark)
+    while nominal < window and data[nominal] & 0xC0 == 0x80:
+        nominal += 1
+    return nominal
+
+
+def items(table: DataFrame, name: str, key: str, text: str, profile: str, config: DataFrame, scope: str) -> DataFrame:
+    """``item_table, item_key, content, code, n_bytes, chunk_size, chunk_overlap`` with the configuration in force for each
+    row: that of its profile, else that of ``*``. Without either, or with a size below 1, a row is never split."""
+    conf = (
+        config.where((F.col("scope") == scope) & (F.col("chunk_size") > 0) & F.col("profile").isNotNull())
+        .groupBy("profile").agg(F.min(F.struct("chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("chunk_overlap"))).alias("c"))
+    )
+    rows = table.select(F.col(key).cast("string").alias("item_key"), F.col(text).alias("content"), F.col(profile).alias("language"))
+    named = rows.join(conf.select(F.col("profile").alias("language"), F.lit(True).alias("named")), "language", "left")
+    keyed = named.withColumn("profile", F.when(F.col("named"), F.col("language")).otherwise("*"))
+    return keyed.join(conf, "profile").select(
+        F.lit(name).alias("item_table"), "item_key", "content", F.lit(scope == "code").alias("code"), F.octet_length("content").alias("n_bytes"),
+        F.col("c.chunk_size").alias("chunk_size"), F.greatest(F.lit(0), F.least(F.col("c.chunk_overlap"), F.floor(F.col("c.chunk_size") / 2).cast("int"))).alias("chunk_overlap"),
+    )
+
+
+def oversized(rows: DataFrame) -> DataFrame:
+    """The items above their size limit; rows without a key are left out."""
+    return rows.where((F.floor(F.col("n_bytes") / BYTES_PER_TOKEN) > F.col("chunk_size")) & F.col("item_key").isNotNull())
+
+
+def item_once(rows: DataFrame) -> DataFrame:
+    """One row for each item: of rows that differ, the one with the smallest limit, then the greatest content."""
+    others = F.struct(-F.col("chunk_size"), "chunk_overlap", "content", "code", "n_bytes", "chunk_size")
+    best = rows.groupBy("item_table", "item_key").agg(F.max(others).alias("r"))
+    return best.select("item_table", "item_key", "r.content", "r.code", "r.n_bytes", "r.chunk_size", "r.chunk_overlap")
+
+
+def split_items(rows: DataFrame, with_text: bool = True, range_bytes: int = RANGE) -> DataFrame:
+    """``item_table, item_key, piece_no, start_byte, end_byte, text`` of the pieces of each oversized item.
+
+    Pieces count from 0; each has at most ``chunk_size`` estimated tokens, and each but the first starts
+    ``chunk_overlap`` tokens (and at most three bytes more) before the end of the one before it. Together they cover the
+    item. Items within the limit give no piece.
+    """
+    halo = (F.col("chunk_size") + 2) * BYTES_PER_TOKEN
+    ranges = (
+        oversized(rows)
+        .withColumn("n_ranges", F.ceil(F.col("n_bytes") / range_bytes))
+        .withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ranges") - 1)))
+        .withColumn("base", F.greatest(F.lit(0).cast("bigint"), F.col("range_no") * range_bytes - halo))
+        .withColumn("stretch", F.substring(F.encode("content", "UTF-8"), (F.col("base") + 1).cast("int"), (range_bytes + 2 * halo).cast("int")))
+    )
+    columns = ["item_table", "item_key", "n_ranges", "range_no", "base", "code", "n_bytes", "chunk_size", "chunk_overlap", "stretch"]
+
+    def cut(*batch: list) -> list:
+        out = []
+        for table, key, n_ranges, no, base, code, n_bytes, size, overlap, data in zip(*batch, strict=True):
+            limit, back = size * BYTES_PER_TOKEN, overlap * BYTES_PER_TOKEN
+            begin = 0 if no == 0 else anchor(data, no * range_bytes - base, limit, code)
+            end = n_bytes - base if no == n_ranges - 1 else anchor(data, (no + 1) * range_bytes - base, limit, code)
+            for k, (a, b) in enumerate(cut_points(data, begin, end, limit, back, code, no == 0)):
+                out.append((table, key, n_ranges, no, k, base + a, base + b, data[a:b].decode("utf-8", "replace") if with_text else None))
+        return out
+
+    pieces = map_lists(spread(ranges.select(*columns)), cut, "item_table string, item_key string, n_ranges bigint, range_no bigint, ordinal bigint, start_byte bigint, end_byte bigint, text string")
+    return _numbered(pieces)
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Piece numbers through an item: the ordinal in its range plus the pieces of all ranges before it."""
+    names = ["item_table", "item_key"]
+    counts = pieces.where("n_ranges > 1").groupBy(*names, "range_no").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("range_no") / PREFIX_BLOCK))
+    in_block = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*names, "block").orderBy("range_no")) - F.col("n"))
+    blocks = counts.groupBy(*names, "block").agg(F.sum("n").alias("bn"))
+    blocks = blocks.withColumn("block_before", F.sum("bn").over(Window.partitionBy(*names).orderBy("block")) - F.col("bn"))
+    offsets = in_block.join(blocks, [*names, "block"]).select(*names, "range_no", (F.col("before") + F.col("block_before")).alias("offset"))
+    whole = pieces.where("n_ranges = 1").withColumn("offset", F.lit(0).cast("bigint"))
+    parts = pieces.where("n_ranges > 1").join(offsets, [*names, "range_no"])
+    shape = [*names, (F.col("ordinal") + F.col("offset")).alias("piece_no"), "start_byte", "end_byte", "text"]
+    return whole.select(*shape).unionByName(parts.select(*shape))
+
+
+def split_files(listing: DataFrame, chunk_size: int, chunk_overlap: int, code: bool = True, range_bytes: int = RANGE) -> DataFrame:
+    """The pieces of files by path without loading any whole: ``listing`` has ``path, length`` (as from a file listing).
+
+    Each task opens a path, reads its range and the halos by offset, and cuts them; paths are what pyarrow's filesystems
+    take (local, hdfs:, s3:). Items within the limit give no piece.
+    """
+    halo = (chunk_size + 2) * BYTES_PER_TOKEN
+    limit, back = chunk_size * BYTES_PER_TOKEN, min(chunk_overlap, chunk_size // 2) * BYTES_PER_TOKEN
+    ranges = (
+        listing.where(F.floor(F.col("length") / BYTES_PER_TOKEN) > chunk_size)
+        .select("path", F.col("length").cast("bigint").alias("length"))
+        .withColumn("n_ranges", F.ceil(F.col("length") / range_bytes))
+        .withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ranges") - 1)))
+    )
+
+    def cut(*batch: list) -> list:
+        from pyarrow import fs
+
+        out = []
+        for path, length, n_ranges, no in zip(*batch, strict=True):
+            system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            base = max(0, no * range_bytes - halo)
+            with system.open_input_file(name) as source:
+                data = source.read_at(range_bytes + 2 * halo, base)
+            begin = 0 if no == 0 else anchor(data, no * range_bytes - base, limit, code)
+            end = length - base if no == n_ranges - 1 else anchor(data, (no + 1) * range_bytes - base, limit, code)
+            for k, (a, b) in enumerate(cut_points(data, begin, end, limit, back, code, no == 0)):
+                out.append(("paths", path, n_ranges, no, k, base + a, base + b, data[a:b].decode("utf-8", "replace")))
+        return out
+
+    pieces = map_lists(spread(ranges), cut, "item_table string, item_key string, n_ranges bigint, range_no bigint, ordinal bigint, start_byte bigint, end_byte bigint, text string")
+    return _numbered(pieces)
+
+
+def project_items(files: DataFrame, documents: DataFrame, config: DataFrame) -> DataFrame:
+    """The items of this project: files by language under the code profiles, documents by lang under the text profiles."""
+    return items(files, "files", "path", "content", "language", config, "code").unionByName(items(documents, "documents", "doc_id", "text", "lang", config, "text"))

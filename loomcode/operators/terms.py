@@ -1,0 +1,76 @@
+"""Frequency of every distinct term, heavy terms apart from light ones."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: At most so many terms are counted as heavy; the sketch that finds them tracks so many items.
+HEAVY, TRACKED = 256, 4096
+RARE_BELOW, COMMON_SHARE = 3, 0.12
+
+
+def record_terms(rows: DataFrame, record: str, terms: str) -> DataFrame:
+    """``record, term, n`` with n occurrences of the term in all rows of the record.
+
+    A term is an array element without the spaces around it; null and empty elements are none. Rows without a record id
+    have a null record. One term of one record is one row whatever the number of rows: they are combined before the shuffle.
+    """
+    each = rows.select(F.col(record).alias("record"), F.explode(terms).alias("t")).select("record", F.trim("t").alias("term"))
+    return each.where("term <> ''").groupBy("record", "term").agg(F.count("*").alias("n"))
+
+
+def heavy_terms(pairs: DataFrame, limit: int = HEAVY) -> list[str]:
+    """The terms that a frequent-items sketch over all pairs finds most often: at most ``limit``, whatever the data."""
+    found = pairs.agg(F.expr(f"approx_top_k(term, {limit}, {max(TRACKED, limit)})").alias("top")).first()
+    return sorted(x["item"] for x in (found["top"] or []) if x["count"] > 1)
+
+
+def term_counts(pairs: DataFrame, limit: int = HEAVY) -> DataFrame:
+    """``term, n_occurrences, n_records`` exactly, for every term of ``record, term, n``.
+
+    Heavy terms go to every task as a list and are counted there into one array, so a partition sends one short row for
+    all of them; the other terms are shuffled. Which terms count as heavy changes the work and never the result.
+    """
+    spark = pairs.sparkSession
+    heavy = heavy_terms(pairs, limit)
+    slots = {t: k for k, t in enumerate(heavy)}
+    seen = F.when(F.col("record").isNotNull(), 1).otherwise(0)
+    is_heavy = F.col("term").isin(heavy) if heavy else F.lit(False)
+    light = pairs.where(~is_heavy).groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.sum(seen).cast("bigint").alias("n_records"))
+    if not heavy:
+        return light
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        occurrences, records = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+        index = pa.array(sorted(slots, key=slots.get))
+        for batch in batches:
+            at = batch.column(0).cast(pa.string()).dictionary_encode()
+            places = np.array([slots[t] for t in at.dictionary.to_pylist()], dtype=np.int64)[at.indices.to_numpy(zero_copy_only=False)]
+            occurrences += np.bincount(places, weights=batch.column(1).to_numpy(zero_copy_only=False), minlength=len(slots)).astype(np.int64)
+            records += np.bincount(places, weights=batch.column(2).to_numpy(zero_copy_only=False), minlength=len(slots)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([index, pa.array(occurrences), pa.array(records)], names=["term", "n_occurrences", "n_records"])
+
+    local = pairs.where(is_heavy).select("term", "n", seen.cast("bigint").alias("seen")).mapInArrow(count, "term string, n_occurrences bigint, n_records bigint")
+    counted = local.groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")).where("n_occurrences > 0")
+    return light.unionByName(counted)
+
+
+def marked_terms(rows: DataFrame, record: str, terms: str, field: str, rare_below: int = RARE_BELOW, common_share: float = COMMON_SHARE) -> DataFrame:
+    """``field, term, n_occurrences, n_records, mark`` of one array column.
+
+    The mark is ``rare`` below ``rare_below`` records, else ``common`` above ``common_share`` of all distinct records (rows
+    with null arrays included), else null. Repeated rows of a record count once as a record and each time as occurrences.
+    """
+    total = rows.select(record).where(F.col(record).isNotNull()).distinct().count()
+    mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_share * total, "common")
+    return term_counts(record_terms(rows, record, terms)).select(F.lit(field).alias("field"), "term", "n_occurrences", "n_records", mark.alias("mark"))
+
+
+def project_terms(units: DataFrame, modules: DataFrame) -> DataFrame:
+    """The dependencies of code units and the imports of modules."""
+    return marked_terms(units, "unit_id", "dependencies", "dependencies").unionByName(marked_terms(modules, "file", "imports", "imports"))

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from loomcode.plans import problems
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
+SQL: dict[str, str] = {**problems.SQL}

@@ -1,0 +1,51 @@
+"""Queries of the general training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomcode.operators import chunking, terms
+from loomcode.session import load
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.project_items(load(spark, d, "files"), load(spark, d, "documents"), load(spark, d, "chunk_config"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_items(_items(spark, d), with_text=False).select("item_table", "item_key").distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_items(chunking.item_once(chunking.oversized(_items(spark, d))))
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.project_terms(load(spark, d, "code_units"), load(spark, d, "compact_modules"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_terms(spark, d).where(F.col("mark").isNotNull()).select("field", "term", "mark")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_terms": p4_terms, "p4_found": p4_found}
+
+_TERMS = """
+WITH e AS (SELECT 'dependencies' AS field, unit_id AS record, trim(t, ' ') AS term FROM code_units, unnest(dependencies) AS u(t)
+           UNION ALL SELECT 'imports', file, trim(t, ' ') FROM compact_modules, unnest(imports) AS u(t)),
+n AS (SELECT 'dependencies' AS field, count(DISTINCT unit_id) AS total FROM code_units UNION ALL SELECT 'imports', count(DISTINCT file) FROM compact_modules),
+c AS (SELECT field, term, count(*) AS n_occurrences, count(DISTINCT record) AS n_records FROM e WHERE term <> '' GROUP BY 1, 2),
+m AS (SELECT field, term, n_occurrences, n_records, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.12 * total THEN 'common' END AS mark FROM c JOIN n USING (field))
+"""
+SQL = {
+    "p2_found": """
+WITH i AS (SELECT 'files' AS item_table, path AS item_key, 'code' AS scope, language AS l, strlen(content) AS b FROM files
+           UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), 'text', lang, strlen(text) FROM documents)
+SELECT DISTINCT item_table, item_key FROM i
+LEFT JOIN chunk_config c ON c.scope = i.scope AND c.profile = i.l
+JOIN chunk_config s ON s.scope = i.scope AND s.profile = '*'
+WHERE item_key IS NOT NULL AND b // 4 > coalesce(c.chunk_size, s.chunk_size)""",
+    "p4_terms": _TERMS + "SELECT * FROM m",
+    "p4_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+}
