@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcode.plans import problems
+from loomcode.plans import problems, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **problems.SQL}
