@@ -35,12 +35,13 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Evens rows out before a CPU-heavy Python stage if the input has too few splits to keep the cores busy.
+    """Evens rows out before a CPU-heavy stage if the input has too few splits to keep the cores busy.
 
-    A large input already has more splits than cores and passes through without a shuffle.
+    A split may hold no row (one row group of a file lies in one split), so only a clear surplus of splits counts as enough.
+    A large input has that and passes through without a shuffle.
     """
     cores = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= 4 * cores:
         return df
     return df.repartition(cores * per_core)
 
