@@ -84,13 +84,23 @@ def flow_edges(table: DataFrame) -> DataFrame:
     spot = F.struct("line_no", "level")
     after = [F.first(F.when((F.col("level") <= n) & ~F.col("clause"), spot), True).over(ahead) for n in range(DEEPEST + 1)]
     either = [F.first(F.when(F.col("level") <= n, F.col("line_no")), True).over(ahead) for n in range(DEEPEST + 1)]
-    above = [F.last(F.when(F.col("level") == n, F.struct("line_no", "level", "kind")), True).over(behind) for n in range(DEEPEST + 1)]
+    above = [F.last(F.when(F.col("level") == n, F.struct("line_no", "level", "kind", F.col("text").rlike(r"^(?:case|default)\b").alias("case"))), True).over(behind) for n in range(DEEPEST + 1)]
     t = t.select("*", F.array(*after).alias("after"), F.array(*either).alias("either"), F.array(*above).alias("above"))
     loops = F.filter(F.slice("above", 1, F.greatest(F.col("level"), F.lit(0))), lambda x: x["kind"] == "loop")
     t = t.withColumn("loop", F.get(F.reverse(loops), F.lit(0))).withColumn("past", F.get("after", F.greatest(F.col("level") - 1, F.lit(0))))
     exit_line = lambda c: F.coalesce(c, F.lit(0))
     ends_loop = F.col("loop").isNotNull() & (F.col("past").isNull() | (F.col("past.level") <= F.col("loop.level")))
     block_end = F.when(ends_loop, F.struct(F.col("loop.line_no").alias("dst"), F.lit("back_edge").alias("edge"))).otherwise(F.struct(exit_line(F.col("past.line_no")).alias("dst"), F.lit("unconditional").alias("edge")))
+    # A break leaves the clause of a switch, else the innermost loop; what continues goes back to the loop.
+    switch = F.get("after", F.greatest(F.col("level") - 2, F.lit(0)))
+    leaves_switch = F.coalesce(F.get("above", F.col("level") - 1)["case"], F.lit(False)) & F.col("text").startswith("break")
+    past_loop = F.get("after", F.coalesce(F.col("loop.level"), F.lit(0)))
+    jump = (
+        F.when(leaves_switch & (switch.isNull() | (switch["level"] == F.col("level") - 2)), F.struct(exit_line(switch["line_no"]).alias("dst"), F.lit("unconditional").alias("edge")))
+        .when(F.col("text").startswith("break") & F.col("loop").isNotNull() & ~leaves_switch, F.struct(exit_line(past_loop["line_no"]).alias("dst"), F.lit("unconditional").alias("edge")))
+        .when(~F.col("text").startswith("break") & F.col("loop").isNotNull(), F.struct(F.col("loop.line_no").alias("dst"), F.lit("back_edge").alias("edge")))
+        .otherwise(block_end)
+    )
     deeper = F.col("next_level") > F.col("level")
     here = F.get("after", F.col("level"))
     # Past a loop or a branch without further clauses may be the end of the block around it.
@@ -104,7 +114,7 @@ def flow_edges(table: DataFrame) -> DataFrame:
     true_edge = F.struct(around(F.when(deeper, F.col("next"))).alias("dst"), F.lit("true").alias("edge"))
     out = (
         F.when(F.col("kind") == "leave", F.array(F.struct(F.lit(0).alias("dst"), F.lit("return").alias("edge"))))
-        .when(F.col("kind") == "jump", F.array(block_end))
+        .when(F.col("kind") == "jump", F.array(jump))
         .when(F.col("kind") == "loop", F.array(true_edge, skip))
         .when(F.col("kind") == "branch", F.array(true_edge, false_branch))
         .otherwise(F.array(step))

@@ -1 +1 @@
-"""See the package README."""
+"""Change notices as a stream."""
