@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcode.functions import paths
 from loomcode.operators.text_search import lines
+from loomcode.session import spread
 
 # Java regular expressions of one-line constructs, by language; group 1 is the name.
 _MODIFIERS = r"(?:(?:export|default|public|private|protected|static|final|abstract|async|pub(?:\([^)]*\))?|unsafe|const|inline|extern|sealed|data|override|virtual|open)\s+)*"
@@ -48,10 +51,20 @@ def _first_group(line: Column):
     return build
 
 
+#: Words of which a declaration or an import line has one: a cheap test before the expressions of each language.
+DECLARING = "class struct enum interface trait module object record".split()
+IMPORTING = "import from require use include using".split()
+
+
+def _outer_with(source: DataFrame, words: list[str]) -> DataFrame:
+    """Lines of the outer level that hold one of the words."""
+    return source.where(~F.col("line").startswith(" ") & ~F.col("line").startswith("\t") & reduce(lambda a, b: a | b, [F.col("line").contains(w) for w in words]))
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """``path, language, line_no, line`` of each distinct file in a known language; comment lines are left out."""
     once = files.where("path is not null and content is not null").select("path", "content").distinct()
-    text = lines(once.withColumn("content", F.regexp_replace("content", "^\\x{FEFF}", "")), "path", "content").withColumn("language", paths.detect_language(F.col("path"))).where("language <> ''")
+    text = lines(spread(once).withColumn("content", F.regexp_replace("content", "^\\x{FEFF}", "")), "path", "content").withColumn("language", paths.detect_language(F.col("path"))).where("language <> ''")
     return text.where(~F.ltrim("line").rlike(r"^(?://|\*|/\*)") & ~((F.col("language").isin("python", "ruby", "php")) & F.ltrim("line").startswith("#"))).select("path", "language", "line_no", "line")
 
 
@@ -59,7 +72,7 @@ def declarations(source: DataFrame) -> DataFrame:
     """``path, line_no, kind, name, bases``: classes (structs and enums too) and interfaces (traits and modules too) that
     start a line at the outer level; the bases as text, joined by commas."""
     line, language = F.col("line"), F.col("language")
-    found = source.withColumn("class", _by_language(CLASSES, language, _first_group(line))).withColumn("interface", _by_language(INTERFACES, language, _first_group(line)))
+    found = _outer_with(source, DECLARING).withColumn("class", _by_language(CLASSES, language, _first_group(line))).withColumn("interface", _by_language(INTERFACES, language, _first_group(line)))
     kind = F.when(F.coalesce("class", F.lit("")) != "", "class").when(F.coalesce("interface", F.lit("")) != "", "interface")
     bases = F.concat_ws("", F.regexp_extract("line", BASES, 1), F.regexp_extract("line", BASES, 2), F.regexp_extract("line", BASES, 3))
     return found.withColumn("kind", kind).where("kind is not null").select("path", "line_no", "kind", F.when(F.col("kind") == "class", F.col("class")).otherwise(F.col("interface")).alias("name"), F.regexp_replace(bases, r"\s+", "").alias("bases"))
@@ -68,7 +81,7 @@ def declarations(source: DataFrame) -> DataFrame:
 def imports(source: DataFrame) -> DataFrame:
     """``path, line_no, module, is_from`` of each import line at the outer level."""
     module = _by_language(IMPORTS, F.col("language"), _first_group(F.col("line")))
-    return source.withColumn("module", module).where("module <> ''").select("path", "line_no", "module", F.col("line").rlike(FROM_IMPORTS).alias("is_from"))
+    return _outer_with(source, IMPORTING).withColumn("module", module).where("module <> ''").select("path", "line_no", "module", F.col("line").rlike(FROM_IMPORTS).alias("is_from"))
 
 
 def call_sites(source: DataFrame) -> DataFrame:
