@@ -84,7 +84,8 @@ def anchor(data: bytes, nominal: int, limit: int, code: bool) -> int:
 
 def items(table: DataFrame, name: str, key: str, text: str, profile: str, config: DataFrame, scope: str) -> DataFrame:
     """``item_table, item_key, content, code, n_bytes, chunk_size, chunk_overlap`` with the configuration in force for each
-    row: that of its profile, else that of ``*``. Without either, or with a size below 1, a row is never split."""
+    row: that of its profile, else that of ``*``. Without either, or with a size below 1, a row is never split. An overlap
+    of more than half the size counts as half."""
     conf = (
         config.where((F.col("scope") == scope) & (F.col("chunk_size") > 0) & F.col("profile").isNotNull())
         .groupBy("profile").agg(F.min(F.struct("chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("chunk_overlap"))).alias("c"))
@@ -120,19 +121,21 @@ def split_items(rows: DataFrame, with_text: bool = True, range_bytes: int = RANG
     halo = (F.col("chunk_size") + 2) * BYTES_PER_TOKEN
     ranges = (
         oversized(rows)
-        .withColumn("n_ranges", F.ceil(F.col("n_bytes") / range_bytes))
+        # A range holds several pieces, so an anchor never lies beyond the next range.
+        .withColumn("range_bytes", F.greatest(F.lit(range_bytes), F.col("chunk_size") * 4 * BYTES_PER_TOKEN).cast("bigint"))
+        .withColumn("n_ranges", F.ceil(F.col("n_bytes") / F.col("range_bytes")))
         .withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ranges") - 1)))
-        .withColumn("base", F.greatest(F.lit(0).cast("bigint"), F.col("range_no") * range_bytes - halo))
-        .withColumn("stretch", F.substring(F.encode("content", "UTF-8"), (F.col("base") + 1).cast("int"), (range_bytes + 2 * halo).cast("int")))
+        .withColumn("base", F.greatest(F.lit(0).cast("bigint"), F.col("range_no") * F.col("range_bytes") - halo))
+        .withColumn("stretch", F.substring(F.encode("content", "UTF-8"), (F.col("base") + 1).cast("int"), (F.col("range_bytes") + 2 * halo).cast("int")))
     )
-    columns = ["item_table", "item_key", "n_ranges", "range_no", "base", "code", "n_bytes", "chunk_size", "chunk_overlap", "stretch"]
+    columns = ["item_table", "item_key", "n_ranges", "range_no", "base", "range_bytes", "code", "n_bytes", "chunk_size", "chunk_overlap", "stretch"]
 
     def cut(*batch: list) -> list:
         out = []
-        for table, key, n_ranges, no, base, code, n_bytes, size, overlap, data in zip(*batch, strict=True):
+        for table, key, n_ranges, no, base, span, code, n_bytes, size, overlap, data in zip(*batch, strict=True):
             limit, back = size * BYTES_PER_TOKEN, overlap * BYTES_PER_TOKEN
-            begin = 0 if no == 0 else anchor(data, no * range_bytes - base, limit, code)
-            end = n_bytes - base if no == n_ranges - 1 else anchor(data, (no + 1) * range_bytes - base, limit, code)
+            begin = 0 if no == 0 else anchor(data, no * span - base, limit, code)
+            end = n_bytes - base if no == n_ranges - 1 else anchor(data, (no + 1) * span - base, limit, code)
             for k, (a, b) in enumerate(cut_points(data, begin, end, limit, back, code, no == 0)):
                 out.append((table, key, n_ranges, no, k, base + a, base + b, data[a:b].decode("utf-8", "replace") if with_text else None))
         return out
@@ -162,6 +165,7 @@ def split_files(listing: DataFrame, chunk_size: int, chunk_overlap: int, code: b
     take (local, hdfs:, s3:). Items within the limit give no piece.
     """
     halo = (chunk_size + 2) * BYTES_PER_TOKEN
+    range_bytes = max(range_bytes, 4 * chunk_size * BYTES_PER_TOKEN)
     limit, back = chunk_size * BYTES_PER_TOKEN, min(chunk_overlap, chunk_size // 2) * BYTES_PER_TOKEN
     ranges = (
         listing.where(F.floor(F.col("length") / BYTES_PER_TOKEN) > chunk_size)

@@ -43,7 +43,7 @@ def index_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 def _unit_rows(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.array([v is not None and len(v) == width and all(x is not None for x in v) for v in vectors], dtype=bool)
-    rows = np.array([v for v, k in zip(vectors, keep, strict=True) if k], dtype=np.float64).reshape(-1, width)
+    rows = np.array([v for v, k in zip(vectors, keep, strict=True) if k], dtype=np.float64).reshape(int(keep.sum()), width)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
     return keep, np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
 
@@ -69,7 +69,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     answers = []
     for number in range(n_blocks):
         part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
-        rows = part.where(F.size("v") == width).collect()
+        rows = part.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull())).collect()
         held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], _unit_rows([r["v"] for r in rows], width)[1]))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

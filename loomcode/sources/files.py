@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcode.functions import paths
+from loomcode.functions.arrow import map_lists
 
 # Fixed value: directories that a scan leaves out unless asked.
 EXCLUDED = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", "env", "site-packages", "coverage", "out", "bin", "obj")
 IGNORE_FILES = (".loomignore", ".gitignore")
 
 
-def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, hidden: bool = False, max_bytes: int | None = None) -> DataFrame:
-    """``path, size, modified_at, language, content`` of the files below a root that Spark can list.
+def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, max_bytes: int | None = None) -> DataFrame:
+    """``path, size, modified_at, language, content`` of the files below a root.
 
-    Hidden names and excluded directories are left out before any content is read; undecodable bytes are replaced. The
+    Spark lists no hidden names; excluded directories are left out before any content is read; undecodable bytes are replaced. The
     rules of ignore files in the tree apply, the nearer ones and later lines last.
     """
     base = root.rstrip("/") + "/"
@@ -26,15 +27,37 @@ def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, h
     found = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
     if max_bytes is not None:
         found = found.where(F.col("size") <= max_bytes)
-    rules = parse_rules(found.where(paths.file_name(F.col("path")).isin(*IGNORE_FILES)).select("path", F.decode("content", "UTF-8").alias("content")))
-    if not hidden:
-        found = found.where(~F.col("path").rlike(r"(^|/)\."))
+    rules = parse_rules(ignore_files(found.select("path"), root))
     if excluded:
         found = found.where(~paths.in_directory(F.col("path"), *excluded))
     kept = found.join(ignored(found.select("path"), rules), "path", "left_anti")
     return kept.select("path", "size", "modified_at", paths.detect_language(F.col("path")).alias("language"), F.expr("try_validate_utf8(content)").alias("content"))
 
 
+def ignore_files(files: DataFrame, root: str) -> DataFrame:
+    """``path, content`` of the ignore files in the directories above the given paths.
+
+    Their names are hidden from Spark's listing, so tasks open them by name, directory by directory.
+    """
+    parts = F.split("path", "/")
+    depth = F.sequence(F.lit(0), F.size(parts) - 1)
+    directories = files.select(F.explode(F.transform(depth, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("dir")).distinct()
+
+    def read(dirs: list) -> list:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        out = []
+        for name in (f"{d}/{x}" if d else x for d in dirs for x in IGNORE_FILES):
+            place = f"{base.rstrip('/')}/{name}"
+            if system.get_file_info(place).type == fs.FileType.File:
+                with system.open_input_stream(place) as source:
+                    out.append((name, source.read().decode("utf-8", "replace")))
+        return out
+
+    return map_lists(directories, read, "path string, content string")
+
+
 def parse_rules(ignore_files: DataFrame) -> DataFrame:
     """``dir, ord, pattern, negated, regex`` of the rules in ignore files given as ``path, content``.
 
