@@ -46,7 +46,7 @@ _BLOCK = r"/\*(?:[^*]|\*(?!/))*\*/"
 _D, _S = r'"(?:[^"\\\n]|\\(?:.|\n))*"', r"'(?:[^'\\\n]|\\(?:.|\n))*'"
 _DM, _SM = r'"(?:[^"\\]|\\.|\\\n)*"', r"'(?:[^'\\]|\\.|\\\n)*'"
 _TEMPLATE = r"`(?:[^`\\$]|\\.|\\\n|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\})*`"
-_REGEX = r"(?<=[(,=:\[!&|?{};\n+])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"(?:(?<=[(,=:\[!&|?{};\n+])|(?<=[(,=:\[!&|?{};+] ))/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _REST = r"|(?P<bad>/\*|[\"'`])|(?P<word>" + _WORD + r")|(?P<num>" + _NUMBER + r")|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<op>" + _OPERATOR + r")|(?P<nl>\n)|(?P<other>[^\s])"
 
 
@@ -214,7 +214,7 @@ def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str)
             macro = max(0, macro - 1)
             if value0 in DANGLING and not macro and not jsx and not (language == "ruby" and value0 == "::"):
                 return f"{value0} before {value}"
-        elif value == ";" and value0 in DANGLING and not macro:
+        elif value == ";" and (value0 in DANGLING or value0 in ("+", "-")) and not macro:
             return f"{value0} before ;"
         if kind == "id":
             chain = chain + 1 if not fresh or chain == 0 else 1
