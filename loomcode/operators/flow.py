@@ -7,7 +7,7 @@ follow from levels by window functions, so a function is never gathered into one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,10 +32,6 @@ KEYWORDS = (
 # End of the fixed values.
 
 
-def _regexp(text: str) -> Column:
-    return F.lit(text)
-
-
 def function_lines(files: DataFrame, functions: DataFrame) -> DataFrame:
     """``func, line_no, first_line, level, kind, text`` of the code lines of each function, its head at level 0.
 
@@ -66,7 +62,7 @@ def function_lines(files: DataFrame, functions: DataFrame) -> DataFrame:
 
 def complexity(table: DataFrame) -> DataFrame:
     """``func, complexity, n_lines, depth, n_loops, n_leaves``: 1 and a point for each branch, loop and joined condition."""
-    joined = F.when(F.col("kind") != "entry", F.regexp_count("text", _regexp(JOINED))).otherwise(0)
+    joined = F.when(F.col("kind") != "entry", F.regexp_count("text", F.lit(JOINED))).otherwise(0)
     points = F.when(F.col("kind").isin("branch", "loop"), 1).otherwise(0) + joined
     return table.groupBy("func").agg((F.sum(points) + 1).cast("bigint").alias("complexity"), F.count("*").alias("n_lines"), F.max("level").alias("depth"), F.count_if(F.col("kind") == "loop").alias("n_loops"), F.count_if(F.col("kind") == "leave").alias("n_leaves"))
 
@@ -130,12 +126,12 @@ def references(table: DataFrame) -> DataFrame:
     bare = F.regexp_replace("text", r"\"[^\"]*\"|'[^']*'|`[^`]*`", " ")
     t = table.withColumn("bare", bare).withColumn("defined", F.when(F.col("kind") != "entry", F.regexp_extract("bare", DEFINED, 1)).otherwise("")).withColumn("plain_def", F.regexp_extract("bare", DEFINED, 2) != "")
     head = F.col("kind") == "entry"
-    words = F.array_distinct(F.filter(F.regexp_extract_all("bare", _regexp(f"({WORD})"), 1), lambda x: ~x.isin(KEYWORDS)))
+    words = F.array_distinct(F.filter(F.regexp_extract_all("bare", F.lit(f"({WORD})"), 1), lambda x: ~x.isin(KEYWORDS)))
     used = t.where(~head).select("func", "line_no", F.explode(words).alias("var"), "defined", "plain_def", "bare")
     again = F.regexp_count("bare", F.concat(F.lit(r"\b"), F.col("var"), F.lit(r"\b"))) > 1
     used = used.where((F.col("var") != F.col("defined")) | ~F.col("plain_def") | again).select("func", "var", "line_no", F.lit(False).alias("is_def"))
     defs = t.where("defined <> ''").select("func", F.col("defined").alias("var"), "line_no", F.lit(True).alias("is_def"))
-    params = t.where(head).select("func", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("bare", r"\((.*)\)", 1), _regexp(f"({WORD})"), 1))).alias("var")).select("func", "var", "line_no", F.lit(True).alias("is_def"))
+    params = t.where(head).select("func", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("bare", r"\((.*)\)", 1), F.lit(f"({WORD})"), 1))).alias("var")).select("func", "var", "line_no", F.lit(True).alias("is_def"))
     return params.unionByName(defs).unionByName(used).distinct()
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Bytes of query vectors that go to every task at once; more queries are answered in blocks of this size.
@@ -65,6 +66,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     n_blocks = -(-max(1, widest["n"]) // block)
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)[id_col]
+    kinds = [to_arrow_type(vectors.schema[id_col].dataType)] * 2
     schema = f"query_id {id_type}, id {id_type}, score double"
     answers = []
     for number in range(n_blocks):
@@ -89,10 +91,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
             out = [x for x in names for _ in range(n)], best_ids.ravel().tolist(), best_scores.ravel().tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], type=kinds[0]), pa.array(out[1], type=kinds[1]), pa.array(out[2], type=pa.float64())], names=["query_id", "id", "score"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(vectors.schema[id_col].dataType)
-        kinds = [kind, kind]
         answers.append(vectors.where(F.col(id_col).isNotNull()).select(id_col, embedding).mapInArrow(search, schema))
     local = answers[0]
     for other in answers[1:]:

@@ -38,7 +38,8 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Evens rows out before a CPU-heavy stage if the input has too few splits to keep the cores busy.
 
     A split may hold no row (one row group of a file lies in one split), so only a clear surplus of splits counts as enough.
-    A large input has that and passes through without a shuffle.
+    A large input has that and passes through without a shuffle. Meant for what comes straight from a scan: counting the
+    partitions of a plan with shuffles would run them.
     """
     cores = parallelism(df.sparkSession)
     if df.rdd.getNumPartitions() >= 4 * cores:
