@@ -67,6 +67,16 @@ def complexity(table: DataFrame) -> DataFrame:
     return table.groupBy("func").agg((F.sum(points) + 1).cast("bigint").alias("complexity"), F.count("*").alias("n_lines"), F.max("level").alias("depth"), F.count_if(F.col("kind") == "loop").alias("n_loops"), F.count_if(F.col("kind") == "leave").alias("n_leaves"))
 
 
+def basic_blocks(table: DataFrame) -> DataFrame:
+    """``func, block_no, start_line, end_line, n_lines``: runs of lines that are entered only at their first and left only at
+    their last; a block ends at a branch or a jump, at a change of level, and before a loop or a clause."""
+    w = Window.partitionBy("func", "first_line").orderBy("line_no")
+    last_kind, last_level = F.lag("kind").over(w), F.lag("level").over(w)
+    leads = last_kind.isNull() | (F.col("level") != last_level) | last_kind.isin("branch", "loop", "else", "leave", "jump") | F.col("kind").isin("loop", "else")
+    numbered = table.withColumn("leads", leads.cast("int")).withColumn("block_no", F.sum("leads").over(w))
+    return numbered.groupBy("func", "block_no").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"))
+
+
 def flow_edges(table: DataFrame) -> DataFrame:
     """``func, src, dst, edge``: the control-flow graph on lines; the exit is line 0.
 
@@ -127,9 +137,10 @@ def references(table: DataFrame) -> DataFrame:
     t = table.withColumn("bare", bare).withColumn("defined", F.when(F.col("kind") != "entry", F.regexp_extract("bare", DEFINED, 1)).otherwise("")).withColumn("plain_def", F.regexp_extract("bare", DEFINED, 2) != "")
     head = F.col("kind") == "entry"
     words = F.array_distinct(F.filter(F.regexp_extract_all("bare", F.lit(f"({WORD})"), 1), lambda x: ~x.isin(KEYWORDS)))
-    used = t.where(~head).select("func", "line_no", F.explode(words).alias("var"), "defined", "plain_def", "bare")
-    again = F.regexp_count("bare", F.concat(F.lit(r"\b"), F.col("var"), F.lit(r"\b"))) > 1
-    used = used.where((F.col("var") != F.col("defined")) | ~F.col("plain_def") | again).select("func", "var", "line_no", F.lit(False).alias("is_def"))
+    # A line that defines a variable uses it too if the name stands there twice.
+    again = F.size(F.filter(F.regexp_extract_all("bare", F.lit(r"(\w+)"), 1), lambda x: x == F.col("defined"))) > 1
+    used = t.where(~head).select("func", "line_no", "defined", "plain_def", F.when(F.col("defined") != "", again).otherwise(False).alias("again"), F.explode(words).alias("var"))
+    used = used.where("var <> defined or not plain_def or again").select("func", "var", "line_no", F.lit(False).alias("is_def"))
     defs = t.where("defined <> ''").select("func", F.col("defined").alias("var"), "line_no", F.lit(True).alias("is_def"))
     params = t.where(head).select("func", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("bare", r"\((.*)\)", 1), F.lit(f"({WORD})"), 1))).alias("var")).select("func", "var", "line_no", F.lit(True).alias("is_def"))
     return params.unionByName(defs).unionByName(used).distinct()

@@ -24,6 +24,18 @@ def cfg_edges(spark, d):
     return flow.flow_edges(_lines(spark, d))
 
 
+def cfg_blocks(spark, d):
+    return flow.basic_blocks(_lines(spark, d))
+
+
+def slice_source(spark, d):
+    """The lines of every function with a mark for those that its last line depends on."""
+    table, edges = _dependence(spark, d)
+    last = table.groupBy("func").agg(F.max("line_no").alias("line_no"))
+    marked = flow.slices(edges, last).select("func", F.col("slice_line").alias("line_no"), F.lit(True).alias("marked"))
+    return table.join(marked, ["func", "line_no"], "left").select("func", "line_no", F.coalesce("marked", F.lit(False)).alias("in_slice"), "text")
+
+
 def dfg_refs(spark, d):
     return flow.references(_lines(spark, d)).groupBy("func", "var").agg(F.count_if("is_def").alias("n_defs"), F.count_if(~F.col("is_def")).alias("n_uses"), F.min("line_no").alias("first_line"))
 
@@ -64,7 +76,7 @@ def slice_forward(spark, d):
     return text_search.line_ranges(flow.slices(edges.where("dep = 'data'"), first, backward=False), "func", "slice_line")
 
 
-QUERIES = {f.__name__: f for f in (flow_lines, cfg_complexity, cfg_edges, dfg_refs, def_use_chains, reaching_defs, pdg_edges, pdg_line_dependencies, slice_backward, slice_forward)}
+QUERIES = {f.__name__: f for f in (flow_lines, cfg_complexity, cfg_blocks, cfg_edges, dfg_refs, def_use_chains, reaching_defs, pdg_edges, pdg_line_dependencies, slice_backward, slice_forward, slice_source)}
 
 
 def _re2(pattern: str) -> str:
@@ -83,6 +95,7 @@ q5 AS (SELECT *, min(CASE WHEN line_no > first_line THEN indent - head_indent EN
 t AS (SELECT func, line_no, first_line, text, CASE WHEN line_no = first_line THEN 0 ELSE least({flow.DEEPEST}, greatest(1, (indent - head_indent) // unit)) END AS level,
       CASE WHEN line_no = first_line THEN 'entry' WHEN regexp_matches(text, '{_re2(flow.LOOP)}') THEN 'loop' WHEN regexp_matches(text, '{_re2(flow.BRANCH)}') THEN 'branch' WHEN regexp_matches(text, '{_re2(flow.ELSE)}') THEN 'else' WHEN regexp_matches(text, '{_re2(flow.LEAVE)}') THEN 'leave' WHEN regexp_matches(text, '{_re2(flow.JUMP)}') THEN 'jump' ELSE 'plain' END AS kind FROM q5)
 """
+LINES_SQL = _T
 _REFS = f""",
 b AS (SELECT *, {_BARE} AS bare FROM t), b2 AS (SELECT *, CASE WHEN kind <> 'entry' THEN regexp_extract(bare, '{_re2(flow.DEFINED)}', 1) ELSE '' END AS defined, regexp_extract(bare, '{_re2(flow.DEFINED)}', 2) <> '' AS plain_def FROM b),
 uw AS (SELECT DISTINCT func, line_no, defined, plain_def, bare, unnest(regexp_extract_all(bare, '{flow.WORD}')) AS var FROM b2 WHERE kind <> 'entry'),
@@ -102,6 +115,10 @@ SQL = {
     "flow_lines": f"WITH {_T} SELECT func, count(*) AS n_lines, max(level) AS depth, sum(line_no)::BIGINT AS line_sum, count(*) FILTER (kind = 'plain') AS n_plain FROM t GROUP BY 1",
     "cfg_complexity": f"""WITH {_T} SELECT func, (1 + sum((kind IN ('branch', 'loop'))::INT + CASE WHEN kind <> 'entry' THEN len(regexp_extract_all(text, '{_re2(flow.JOINED)}')) ELSE 0 END))::BIGINT AS complexity,
         count(*) AS n_lines, max(level) AS depth, count(*) FILTER (kind = 'loop') AS n_loops, count(*) FILTER (kind = 'leave') AS n_leaves FROM t GROUP BY 1""",
+    "cfg_blocks": f"""WITH {_T}, g AS (SELECT *, lag(kind) OVER w AS lk, lag(level) OVER w AS ll FROM t WINDOW w AS (PARTITION BY func, first_line ORDER BY line_no)),
+        n AS (SELECT *, sum((lk IS NULL OR level <> ll OR lk IN ('branch', 'loop', 'else', 'leave', 'jump') OR kind IN ('loop', 'else'))::INT) OVER (PARTITION BY func, first_line ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS block_no FROM g)
+        SELECT func, block_no, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n_lines FROM n GROUP BY 1, 2""",
+    "slice_source": f"WITH RECURSIVE {_T} {_PDG}, s(func, n) AS (SELECT func, max(line_no) FROM t GROUP BY 1 UNION SELECT s.func, pe.src FROM s JOIN pe ON pe.func = s.func AND pe.dst = s.n) SELECT func, line_no, (func, line_no) IN (SELECT (func, n) FROM s) AS in_slice, text FROM t",
     "dfg_refs": f"WITH {_T} {_REFS} SELECT func, var, count(*) FILTER (is_def) AS n_defs, count(*) FILTER (NOT is_def) AS n_uses, min(line_no) AS first_line FROM refs GROUP BY 1, 2",
     "def_use_chains": f"WITH {_T} {_REFS} SELECT * FROM du",
     "pdg_edges": f"WITH {_T} {_PDG} SELECT * FROM pe",

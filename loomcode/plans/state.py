@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomcode.functions import paths
 from loomcode.operators import cache, extraction, flow, incremental, units
 from loomcode.session import cut, load
+from loomcode.plans.flow_queries import LINES_SQL
 from loomcode.streaming import notify
 
 
@@ -150,4 +151,7 @@ SQL = {
         c AS (SELECT path, line_no, regexp_extract(call, '([^.]*)$', 1) AS name, regexp_replace(call, '\\.?[^.]*$', '') AS base FROM b)
         SELECT path, name, CASE WHEN base IN ('self', 'this', 'cls') THEN 'method' WHEN base <> '' THEN 'attribute' ELSE 'local' END AS call_type, count(*) AS n_sites, min(line_no) AS first_line
         FROM c WHERE name <> '' AND name NOT IN ({', '.join(repr(x) for x in extraction.NO_CALLS)}) GROUP BY 1, 2, 3""",
+    "same_file_calls": _SRC + f""", {LINES_SQL}, b AS (SELECT path, line_no, unnest(list_distinct(regexp_extract_all(regexp_replace(line, '"[^"]*"|''[^'']*''|`[^`]*`', ' ', 'g'), '{extraction.CALL}', 1))) AS call FROM src WHERE regexp_matches(line, '^\\s')),
+        c AS (SELECT path, line_no, regexp_extract(call, '([^.]*)$', 1) AS callee FROM b), k AS (SELECT func, callee, c.path FROM c JOIN t ON split_part(t.func, ':', 1) = c.path AND t.line_no = c.line_no WHERE callee <> '' AND callee NOT IN ({', '.join(repr(x) for x in extraction.NO_CALLS)}))
+        SELECT func, callee, count(*) AS n_sites FROM k WHERE (path, callee) IN (SELECT (path, name) FROM code_functions) GROUP BY 1, 2""",
 }
