@@ -139,11 +139,14 @@ def references(table: DataFrame) -> DataFrame:
     words = F.array_distinct(F.filter(F.regexp_extract_all("bare", F.lit(f"({WORD})"), 1), lambda x: ~x.isin(KEYWORDS)))
     # A line that defines a variable uses it too if the name stands there twice.
     again = F.size(F.filter(F.regexp_extract_all("bare", F.lit(r"(\w+)"), 1), lambda x: x == F.col("defined"))) > 1
-    used = t.where(~head).select("func", "line_no", "defined", "plain_def", F.when(F.col("defined") != "", again).otherwise(False).alias("again"), F.explode(words).alias("var"))
-    used = used.where("var <> defined or not plain_def or again").select("func", "var", "line_no", F.lit(False).alias("is_def"))
-    defs = t.where("defined <> ''").select("func", F.col("defined").alias("var"), "line_no", F.lit(True).alias("is_def"))
-    params = t.where(head).select("func", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("bare", r"\((.*)\)", 1), F.lit(f"({WORD})"), 1))).alias("var")).select("func", "var", "line_no", F.lit(True).alias("is_def"))
-    return params.unionByName(defs).unionByName(used).distinct()
+    t = t.withColumn("again", F.when(F.col("defined") != "", again).otherwise(False))
+    as_def, as_use = (lambda x: F.struct(x.alias("var"), F.lit(True).alias("is_def"))), (lambda x: F.struct(x.alias("var"), F.lit(False).alias("is_def")))
+    params = F.array_distinct(F.regexp_extract_all(F.regexp_extract("bare", r"\((.*)\)", 1), F.lit(f"({WORD})"), 1))
+    uses = F.filter(words, lambda x: (x != F.col("defined")) | ~F.col("plain_def") | F.col("again"))
+    none = F.array().cast("array<struct<var:string,is_def:boolean>>")
+    found = F.when(head, F.transform(params, as_def)).otherwise(F.concat(F.when(F.col("defined") != "", F.array(as_def(F.col("defined")))).otherwise(none), F.transform(uses, as_use)))
+    # One row for each line of a function, so every reference is distinct but for functions of one id.
+    return t.select("func", "line_no", F.explode(found).alias("r")).select("func", "r.var", "line_no", "r.is_def").distinct()
 
 
 def nearest_definitions(refs: DataFrame) -> DataFrame:
