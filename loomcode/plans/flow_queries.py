@@ -109,6 +109,28 @@ ab AS (SELECT *, [{', '.join(f"last_value(CASE WHEN level = {n} THEN line_no END
 ce AS (SELECT func, list_filter(above[1:level], lambda x: x IS NOT NULL)[-1] AS src, line_no AS dst FROM ab WHERE level > 0),
 pe AS (SELECT func, src, dst, 'control' AS dep, '' AS label FROM ce WHERE src IS NOT NULL UNION ALL SELECT func, def_line, use_line, 'data', var FROM du WHERE def_line <> use_line)
 """
+_N = range(flow.DEEPEST + 1)
+_CFG = f""",
+x1 AS (SELECT *, (kind = 'else' OR kind = 'branch' AND regexp_matches(text, '{_re2(flow.ELSE)}')) AS clause FROM t),
+x2 AS (SELECT *, lead(line_no) OVER o AS nxt, lead(level) OVER o AS nl, lead(clause) OVER o AS nc, first_value(CASE WHEN clause THEN line_no END IGNORE NULLS) OVER a AS clause_at,
+  [{', '.join(f"first_value(CASE WHEN level <= {n} AND NOT clause THEN {{'l': line_no, 'v': level}} END IGNORE NULLS) OVER a" for n in _N)}] AS aft,
+  [{', '.join(f"first_value(CASE WHEN level <= {n} THEN line_no END IGNORE NULLS) OVER a" for n in _N)}] AS eit,
+  [{', '.join(f"last_value(CASE WHEN level = {n} THEN {{'l': line_no, 'v': level, 'k': kind, 'c': regexp_matches(text, '^(?:case|default)' || chr(92) || 'b')}} END IGNORE NULLS) OVER b" for n in _N)}] AS abv
+  FROM x1 WINDOW o AS (PARTITION BY func, first_line ORDER BY line_no), a AS (PARTITION BY func, first_line ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), b AS (PARTITION BY func, first_line ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x3 AS (SELECT *, list_filter(abv[1:level], lambda x: x.k = 'loop')[-1] AS lp, aft[greatest(level - 1, 0) + 1] AS past, aft[level + 1] AS here, aft[greatest(level - 2, 0) + 1] AS sw, eit[level + 1] AS cn, coalesce(abv[level].c, false) AND text LIKE 'break%' AS ls FROM x2),
+x4 AS (SELECT *, lp IS NOT NULL AND (past IS NULL OR past.v <= lp.v) AS ends_loop FROM x3),
+x5 AS (SELECT *, CASE WHEN ends_loop THEN {{'dst': lp.l, 'edge': 'back_edge'}} ELSE {{'dst': coalesce(past.l, 0), 'edge': 'unconditional'}} END AS be FROM x4),
+x6 AS (SELECT *, CASE WHEN here IS NOT NULL AND here.v = level THEN here.l ELSE be.dst END AS skip FROM x5),
+x7 AS (SELECT func, line_no AS src, unnest(CASE
+  WHEN kind = 'leave' THEN [{{'dst': 0, 'edge': 'return'}}]
+  WHEN kind = 'jump' THEN [CASE WHEN ls AND (sw IS NULL OR sw.v = level - 2) THEN {{'dst': coalesce(sw.l, 0), 'edge': 'unconditional'}} WHEN text LIKE 'break%' AND lp IS NOT NULL AND NOT ls THEN {{'dst': coalesce(aft[lp.v + 1].l, 0), 'edge': 'unconditional'}}
+       WHEN text NOT LIKE 'break%' AND lp IS NOT NULL THEN {{'dst': lp.l, 'edge': 'back_edge'}} ELSE be END]
+  WHEN kind = 'loop' THEN [{{'dst': CASE WHEN nl > level THEN nxt END, 'edge': 'true'}}, {{'dst': skip, 'edge': 'false'}}]
+  WHEN kind = 'branch' THEN [{{'dst': CASE WHEN nl > level THEN nxt END, 'edge': 'true'}}, {{'dst': CASE WHEN cn IS NOT NULL AND clause_at = cn THEN cn ELSE skip END, 'edge': 'false'}}]
+  ELSE [CASE WHEN nxt IS NOT NULL AND nl >= level AND NOT coalesce(nc AND nl = level, false) THEN {{'dst': nxt, 'edge': 'unconditional'}} WHEN nxt IS NOT NULL AND nl = level THEN {{'dst': coalesce(here.l, 0), 'edge': 'unconditional'}} ELSE be END]
+  END) AS e FROM x6),
+fe AS (SELECT DISTINCT func, src, e.dst AS dst, e.edge AS edge FROM x7 WHERE e.dst IS NOT NULL)
+"""
 _RANGES = """, i AS (SELECT func, n, n - row_number() OVER (PARTITION BY func ORDER BY n) AS k FROM g), r AS (SELECT func, min(n) AS a, max(n) AS b FROM i GROUP BY func, k)
 SELECT func, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY 1"""
 SQL = {
@@ -119,6 +141,11 @@ SQL = {
         n AS (SELECT *, sum((lk IS NULL OR level <> ll OR lk IN ('branch', 'loop', 'else', 'leave', 'jump') OR kind IN ('loop', 'else'))::INT) OVER (PARTITION BY func, first_line ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS block_no FROM g)
         SELECT func, block_no, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n_lines FROM n GROUP BY 1, 2""",
     "slice_source": f"WITH RECURSIVE {_T} {_PDG}, s(func, n) AS (SELECT func, max(line_no) FROM t GROUP BY 1 UNION SELECT s.func, pe.src FROM s JOIN pe ON pe.func = s.func AND pe.dst = s.n) SELECT func, line_no, (func, line_no) IN (SELECT (func, n) FROM s) AS in_slice, text FROM t",
+    "cfg_edges": f"WITH {_T} {_CFG} SELECT * FROM fe",
+    "reaching_defs": f"""WITH RECURSIVE {_T} {_CFG} {_REFS}, dd AS (SELECT DISTINCT func, var, line_no FROM refs WHERE is_def), g AS (SELECT DISTINCT func, src, dst FROM fe WHERE dst <> 0),
+        r(func, var, def_line, here) AS (SELECT dd.func, dd.var, dd.line_no, g.dst FROM dd JOIN g ON g.func = dd.func AND g.src = dd.line_no
+          UNION SELECT r.func, r.var, r.def_line, g.dst FROM r LEFT JOIN dd ON dd.func = r.func AND dd.var = r.var AND dd.line_no = r.here JOIN g ON g.func = r.func AND g.src = r.here WHERE dd.func IS NULL)
+        SELECT r.func, r.var, r.def_line, u.line_no AS use_line FROM r JOIN (SELECT DISTINCT func, var, line_no FROM refs WHERE NOT is_def) u ON u.func = r.func AND u.var = r.var AND u.line_no = r.here""",
     "dfg_refs": f"WITH {_T} {_REFS} SELECT func, var, count(*) FILTER (is_def) AS n_defs, count(*) FILTER (NOT is_def) AS n_uses, min(line_no) AS first_line FROM refs GROUP BY 1, 2",
     "def_use_chains": f"WITH {_T} {_REFS} SELECT * FROM du",
     "pdg_edges": f"WITH {_T} {_PDG} SELECT * FROM pe",
