@@ -22,10 +22,26 @@ OWNER_HEADERS = (
 )
 MINIFIED_LINE = 160
 NUMBERED_SHARE = 0.3
-HEADER_LINES = 12
 # End of the fixed values.
 
 _COMMENT = re.compile(r"^\s*(?:<\?php)?\s*(?://+!?|#+!?|/\*+!?|\*+(?!/)|--|<!--|;+|\"\"\"|''')\s?(.*?)\s*(?:\*+/|-->|\"\"\"|''')?\s*$")
+_MARKS = frozenset("/#*-<;\"'")
+# Comments and strings of one line are named so that marks in them open nothing; the group holds strings of several lines.
+_PLAIN = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+_SLASHES = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+_HEREDOC = r"<<<?[-~]?[ \t]*['\"]?(?P<tag>[A-Za-z_]\w*)['\"]?[^\n]*\n(?:.*\n)*?[ \t]*(?P=tag)\b"
+_OPEN = r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\'\\]|\\[\s\S])*\''
+_STRINGS = {
+    "py": re.compile(r'#[^\n]*|(?P<s>"""(?:[^\\]|\\[\s\S])*?"""|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\')|' + _PLAIN),
+    "java": re.compile(_SLASHES + r'|(?P<s>"""(?:[^\\]|\\[\s\S])*?""")|' + _PLAIN),
+    "js": re.compile(_SLASHES + r"|(?P<s>`(?:[^`\\]|\\[\s\S])*`)|" + _PLAIN),
+    "go": re.compile(_SLASHES + r"|(?P<s>`[^`]*`)|" + _PLAIN),
+    "c": re.compile(_SLASHES + "|" + _PLAIN),
+    "rs": re.compile(_SLASHES + r'|(?P<s>r(?P<n>#*)"[\s\S]*?"(?P=n)|"(?:[^"\\]|\\[\s\S])*")|\'(?:[^\'\\\n]|\\[^\n]+)\''),
+    "rb": re.compile(rf"#[^\n]*|(?P<s>{_HEREDOC}|{_OPEN})"),
+    "php": re.compile(rf"{_SLASHES}|#[^\n]*|(?P<s>{_HEREDOC}|{_OPEN})"),
+}
+_STRINGS |= {"h": _STRINGS["c"]}
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLfF]*(?!\w)|\\x[0-9a-fA-F]{2}')
 _BLOB = re.compile(r'"[A-Za-z0-9+/=\\x-]{40,}"|\'[A-Za-z0-9+/=\\x-]{40,}\'')
 _WORDS = re.compile(r"[A-Za-z_$][\w$]*")
@@ -36,13 +52,27 @@ _KEYED = re.compile(r"^[ \t]*[\w.-]+:(?=\s)", re.M)
 _YAML = re.compile(r"\A(?:(?:#[^\n]*|---|[ \t]*[\w.-]+:(?:[ \t]+[^\n{};()=]*)?|[ \t]*-[ \t]+[^\n{};()=]*)?\n)+\Z")
 
 
-def header_comments(text: str) -> list[str]:
-    """The comment lines among the first lines, without their marks; code lines stop nothing but don't count."""
+def literal_lines(path: str, text: str) -> set[int]:
+    """The lines, from 0, that begin inside a string of several lines: what looks like a comment there is none."""
+    inside: set[int] = set()
+    line = position = 0
+    for m in _STRINGS.get(path.rsplit(".", 1)[-1].lower(), _STRINGS["js"]).finditer(text):
+        if m.lastgroup and "\n" in m.group():
+            line += text.count("\n", position, m.start())
+            position = m.start()
+            inside.update(range(line + 1, line + 1 + m.group().count("\n")))
+    return inside
+
+
+def comment_lines(text: str) -> list[tuple[int, str]]:
+    """Number, from 0, and text without marks of each line of the file that begins with a comment mark; a notice may stand
+    below a long licence or at the very end."""
     found = []
-    for line in text.removeprefix("﻿").replace("\r", "").split("\n", HEADER_LINES)[:HEADER_LINES]:
-        m = _COMMENT.match(line)
+    for k, line in enumerate(text.split("\n")):
+        # Every comment mark, and the start of PHP, begins with one of these.
+        m = _COMMENT.match(line) if line.lstrip()[:1] in _MARKS else None
         if m and m.group(1):
-            found.append(m.group(1))
+            found.append((k, m.group(1)))
     return found
 
 
@@ -55,19 +85,26 @@ def by_path(path: str) -> str:
     return ""
 
 
+def _notice(repo: str, comment: str) -> str:
+    kind = "third_party" if VENDORED_HEADER.search(comment) else "generated" if GENERATED_HEADER.search(comment) else ""
+    if not kind:
+        owners = (pattern.match(comment) for pattern in OWNER_HEADERS)
+        kind = "third_party" if any(m and m.group(1).lower() != repo.lower() for m in owners) else ""
+    return "" if kind and HAND_HEADER.search(comment) else kind
+
+
 def by_header(path: str, text: str) -> str:
+    """What the first notice among all comment lines of the file says."""
     repo = path.split("/", 1)[0]
-    for line in header_comments(text):
-        if HAND_HEADER.search(line):
-            continue
-        if VENDORED_HEADER.search(line):
-            return "third_party"
-        if GENERATED_HEADER.search(line):
-            return "generated"
-        for pattern in OWNER_HEADERS:
-            m = pattern.match(line)
-            if m and m.group(1).lower() != repo.lower():
-                return "third_party"
+    text = text.removeprefix("\ufeff").replace("\r", "")
+    literal = None
+    for k, comment in comment_lines(text):
+        kind = _notice(repo, comment)
+        if kind:
+            # Few files have a notice at all, so strings are looked for only here.
+            literal = literal_lines(path, text) if literal is None else literal
+            if k not in literal:
+                return kind
     return ""
 
 

@@ -56,6 +56,25 @@ def test_provenance(path, text, kind):
     assert provenance.classify(path, text)[0] == kind
 
 
+LICENCE = "".join(f"// Clause {k}: the licence says something at length here.\n" for k in range(40))
+NOTICES = [
+    ("r/a.go", "package p\n\n" + "func f() int { return 1 }\n" * 30 + "// Code generated by wiregen v2.17. DO NOT EDIT.\n", "generated"),
+    ("r/a.js", LICENCE + "// @generated by tablemint from rule.idl\nexport const x = f(1);\n", "generated"),
+    ("r/a.ts", LICENCE + "// Vendored copy of upstream tools\nexport const x = f(1);\n", "third_party"),
+    ("r/a.py", "import a\n" * 20 + "x = a.f(1)\n# Maintained manually now, file was generated by typecast once\n", ""),
+    ("r/A.java", "class A {\n" + "    int f() { return 1; }\n" * 20 + "    // Auto-generated method stub\n}\n", ""),
+    ("r/gen.js", "const f = g(1);\n" * 20 + "const head = `\n// Code generated by wiregen v2.17. DO NOT EDIT.\n`;\n", ""),
+    ("r/gen.py", "x = f(1)\n" * 20 + 'HEAD = """\n# @generated by tablemint from rule.idl\n"""\n', ""),
+    ("r/gen.rb", "x = f(1)\n" * 20 + "HEAD = <<~TEXT\n  # @generated by tablemint from rule.idl\nTEXT\n", ""),
+    ("r/gen.rs", "fn f() {}\n" * 20 + 'const HEAD: &str = r#"\n// Code generated by "wiregen" v2. DO NOT EDIT.\n"#;\n// Code generated by wiregen v2.17. DO NOT EDIT.\n', "generated"),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "kind"), NOTICES)
+def test_notices_of_the_whole_file(path, text, kind):
+    assert provenance.by_header(path, text) == kind
+
+
 def _source(seed: int, n: int = 30) -> list[str]:
     r = random.Random(seed)
     return [f"call_{r.randrange(10**6)}(argument_{r.randrange(10**6)}, other_{r.randrange(10**6)})" for _ in range(n)]
