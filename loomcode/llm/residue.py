@@ -42,14 +42,6 @@ _REASONS = r"(?:bad request|unauthorized|payment required|forbidden|not found|me
 STATUS = rf"^(?:[\w. -]{{1,60}} \| )?(?:(?:error|http|status|http error)[ :]*)?(?:0\s*[-:|]*\s*)?{_REASONS}(?: ?\(0\))?(?:[.!]|\s*[-|].*)?$|^(?:error|http|status) 0(?:\s*[-:|].*)?$"
 #: Status lines without a number, which need recurrence or the head of a document.
 BARE_STATUS = rf"^(?:{_REASONS}|access denied|loading\.\.\.)[.!]?$"
-#: Cheap test before any rule; every rule above needs one of these strings in the lower-cased line.
-TRIGGERS = (
-    "{|%%|@@|<<|<%|__|[insert|[enter|[add|[your|[fill|[replace|[choose|[select|[company|[placeholder|[tbd|[todo|lorem|ipsum|vixit|fulget|serpis|mirandi|sample text|placeholder|text goes here|replace this|remplissage|texto de|blindtext|steht später|coming soon|content will follow|text here|content here|xxx"
-    "|javascript|enable script|enable cookies|scripts to|scripting|support scripts|page you|find that page|find this page|find the page|moved or deleted|permission to|site can|connection was|has been limited|robot|check below|unexpected condition|error |error:|http |status |maintenance|back shortly|angeforderte|nicht gefunden|solicitada|no encontrada|introuvable|erreur interne|verweigert|has expired|you are looking for|went wrong|mistyped|did not answer|not be completed|edge node"
-    "|bad request|server error|unauthorized|payment required|forbidden|not found|not allowed|timeout|time-out|conflict|gone|too many requests|not implemented|bad gateway|unavailable|denied|loading..."
-).split("|")
-#: A word, or two, said twice running.
-SAID_TWICE = r"(?i)\b(\p{L}{2,}(?: \p{L}+)?)[ ,.]+\1\b"
 # End of the fixed values.
 #: A masked message recurs widely from so many documents on.
 RECURRING = 3
@@ -62,11 +54,11 @@ PSEUDO = "lorem ipsum dolor amet placet mirandi tandem serpis vixit fulget ferve
 def mask(line: Column) -> Column:
     """Lower case; addresses, dates, long hex numbers and numbers masked; white space in single blanks."""
     x = F.lower(F.trim(line))
-    x = F.regexp_replace(x, r"\b(?:https?://|www\.)\S+", "<url>")
-    x = F.regexp_replace(x, r"[\w.+-]+@[\w-]+\.[\w.]+", "<mail>")
-    x = F.regexp_replace(x, r"\b\d{1,4}[-./]\d{1,2}[-./]\d{1,4}\b(?:[t ]\d{1,2}:\d{2}(?::\d{2})?z?)?", "<date>")
-    x = F.regexp_replace(x, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0")
-    x = F.regexp_replace(x, r"\d+(?:[.,]\d+)*", "0")
+    x = F.when(x.contains("http") | x.contains("www."), F.regexp_replace(x, r"\b(?:https?://|www\.)\S+", "<url>")).otherwise(x)
+    x = F.when(x.contains("@"), F.regexp_replace(x, r"[\w.+-]+@[\w-]+\.[\w.]+", "<mail>")).otherwise(x)
+    numbers = F.regexp_replace(x, r"\b\d{1,4}[-./]\d{1,2}[-./]\d{1,4}\b(?:[t ]\d{1,2}:\d{2}(?::\d{2})?z?)?", "<date>")
+    numbers = F.regexp_replace(numbers, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0")
+    x = F.when(x.rlike(r"\d"), F.regexp_replace(numbers, r"\d+(?:[.,]\d+)*", "0")).otherwise(x)
     return F.regexp_replace(x, r"\s+", " ")
 
 
@@ -78,43 +70,48 @@ def without_fences(text: Column) -> Column:
 
 def unquoted(line: Column) -> Column:
     """The line without inline code and short quotations: what these hold is shown, not meant."""
-    x = F.regexp_replace(line, r"`[^`\n]*`", " ` ")
+    x = F.when(line.contains("`"), F.regexp_replace(line, r"`[^`\n]*`", " ` ")).otherwise(line)
     return F.regexp_replace(x, r"(?<![\w=])(?:\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»|„[^“”\n]{1,120}[“”])", " ` ")
 
 
 def _repetitive(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
+    words = F.array_remove(F.split(F.lower(line), r"[^\p{L}]+"), "")
     pseudo = F.size(F.filter(words, lambda w: w.isin(PSEUDO)))
     distinct = F.size(F.array_distinct(words))
     many = F.size(words) >= REPETITION_WORDS
-    return (many & (distinct <= REPETITION * F.size(words)) & (distinct <= 6)) | ((F.size(words) >= 5) & (pseudo >= 0.6 * F.size(words)))
+    some = F.arrays_overlap(words, F.array(*map(F.lit, PSEUDO)))
+    return (many & (distinct <= REPETITION * F.size(words)) & (distinct <= 6)) | ((F.size(words) >= 5) & some & (pseudo >= 0.6 * F.size(words)))
+
+
+def _strong(line: Column, message: Column, opens: Column) -> Column:
+    """The rule that a line breaks whatever else is known of its message, or null."""
+    rule = reduce(lambda a, kv: a.when(line.rlike(kv[1]), "placeholder"), PLACEHOLDERS.items(), F.when(F.lit(False), "placeholder"))
+    for name, pattern in PHRASES.items():
+        rule = rule.when(message.rlike(pattern), name)
+    return rule.when(message.rlike(STATUS) & (~message.rlike(BARE_STATUS) | opens), "error_page").when(_repetitive(line), "filler")
 
 
 def classified_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, line, message, n_docs, n_sources, rule`` of each line that a rule takes for residue.
+    """``doc_id, line, message, n_docs, n_sources, rule`` of each line that a rule takes for residue; the counts are exact.
 
     Null and empty texts have no lines; a null source counts as a source of its own; texts of any length are taken whole.
     """
-    low = F.lower(F.col("line"))
     lines = (
         spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")))
         .select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.posexplode(F.split(without_fences(F.col("text")), "\n")).alias("at", "line"))
-        .where(reduce(lambda a, b: a | b, [low.contains(t) for t in TRIGGERS]) | F.col("line").rlike(SAID_TWICE))
         .withColumn("line", F.trim(F.regexp_replace(unquoted(F.col("line")), "\r", "")))
         .where("line <> ''")
         .withColumn("message", mask(F.col("line")))
     )
-    strong = reduce(lambda a, kv: a.when(F.col("line").rlike(kv[1]), "placeholder"), PLACEHOLDERS.items(), F.when(F.lit(False), "placeholder"))
-    for name, pattern in PHRASES.items():
-        strong = strong.when(F.col("message").rlike(pattern), name)
     bare = F.col("message").rlike(BARE_STATUS)
-    strong = strong.when(F.col("message").rlike(STATUS) & (~bare | (F.col("at") == 0)), "error_page").when(_repetitive(F.col("line")), "filler")
-    # What is left is a small part of the lines; it is written once and serves the groups and the rules.
-    ruled = cut(lines.withColumn("strong", strong).withColumn("bare", bare).where("strong is not null or bare"))
+    # Every line meets every rule. What is left is a small part of the lines; it is written once and serves the groups and the rules.
+    ruled = cut(lines.withColumn("strong", _strong(F.col("line"), F.col("message"), F.col("at") == 0)).withColumn("bare", bare).where("strong is not null or bare"))
     ruled = ruled.withColumn("hash", F.xxhash64("message"))
-    groups = ruled.groupBy("hash").agg(F.approx_count_distinct("doc_id").alias("n_docs"), F.approx_count_distinct("source").alias("n_sources"))
+    # A hot message is first reduced to one row a document and one a source.
+    per_doc = ruled.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count("doc_id").alias("n_docs"))
+    per_source = ruled.select("hash", "source").distinct().groupBy("hash").agg(F.count("source").alias("n_sources"))
     weak = F.when(F.col("bare") & ((F.col("n_docs") >= RECURRING) | (F.col("at") == 0)), "error_page")
-    return ruled.join(groups, "hash").withColumn("rule", F.coalesce("strong", weak)).where("rule is not null").select("doc_id", "line", "message", "n_docs", "n_sources", "rule")
+    return ruled.join(per_doc, "hash").join(per_source, "hash").withColumn("rule", F.coalesce("strong", weak)).where("rule is not null").select("doc_id", "line", "message", "n_docs", "n_sources", "rule")
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:

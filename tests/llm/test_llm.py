@@ -154,6 +154,26 @@ def test_bare_status_needs_recurrence(spark):
     assert residue.residue_documents(many).count() == 9
 
 
+RULED = [
+    ("You must allow cookies.", "script_notice"), ("Please turn on scripts.", "script_notice"), ("Scripts are blocked, so this page cannot be shown.", "script_notice"), ("We detected that scripts are off.", "script_notice"), ("Scripts may be disabled.", "script_notice"),
+    ("dolor amet consectetur adipiscing eiusmod tempor", "filler"), ("tandem fervet estive grandio quaelis cordis", "filler"), ("one two three, one two three, one two three, one two three", "filler"), ("Scripts are short programs.", ""),
+]
+
+
+def test_no_line_is_kept_from_the_rules(spark):
+    df = spark.createDataFrame([(i, f"Heading of the text\n{t}", "s") for i, (t, _) in enumerate(RULED)], "doc_id bigint, text string, source string")
+    found = {r.doc_id: r.rules for r in residue.residue_documents(df).collect()}
+    assert {i: found.get(i, "") for i in range(len(RULED))} == {i: rule for i, (_, rule) in enumerate(RULED)}
+
+
+def test_message_counts_are_exact(spark):
+    n = 3000
+    df = spark.range(n).selectExpr("id as doc_id", "'Please turn on scripts.\nPlease turn on scripts.' as text", "concat('s', id % 700) as source")
+    assert [tuple(r) for r in residue.recurring_messages(df).select("n_lines", "n_docs", "n_sources").collect()] == [(2 * n, n, 700)]
+    lines = residue.classified_lines(df).select("n_docs", "n_sources").distinct().collect()
+    assert [tuple(r) for r in lines] == [(n, 700)]
+
+
 TRIVIAL = [
     ('"""."""', "f"), ("/** TODO: document */", "f"), ("// FIXME", "f"), ("/**\n * walkRule function.\n */", "walkRule"), ("# Function to walk rule.", "walk_rule"), (":param x:\n:returns:", "f"), ("/** @param depth */", "f"), ("// acc = seal(weight, 41)", "f"), ("Constructor.", "f"), ("{@inheritDoc}", "f"),
     ("See above.", "f"), ("", "f"), (None, "f"), ("//", "f"), ("====================", "f"), ("sin descripción", "f"), ("T.B.D.", "f"), ("/* if (x) {\n   return y;\n } */", "f"),
