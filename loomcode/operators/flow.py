@@ -7,6 +7,8 @@ follow from levels by window functions, so a function is never gathered into one
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,8 @@ from loomcode.session import cut
 
 #: Deeper levels count as this one.
 DEEPEST = 9
+#: After so many steps of a frontier what was found is written as one, so that the plan stays short however many follow.
+FOLD = 60
 # What a line starts with, and words that are no variables.
 BRANCH = r"^(?:\} )?(?:else if|if|elif|elsif|unless|case|when|catch|except|rescue)\b|^(?:\d+|_) => "
 LOOP = r"^(?:async )?(?:for|while|until|loop)\b|\.(?:times|each|forEach)\b"
@@ -156,23 +160,25 @@ def nearest_definitions(refs: DataFrame) -> DataFrame:
     return refs.withColumn("def_line", F.last(F.when(F.col("is_def"), F.col("line_no")), True).over(w)).where("not is_def and def_line is not null").select("func", "var", "def_line", F.col("line_no").alias("use_line"))
 
 
-def reaching_definitions(edges: DataFrame, refs: DataFrame, steps: int = 60) -> DataFrame:
+def reaching_definitions(edges: DataFrame, refs: DataFrame) -> DataFrame:
     """``func, var, def_line, use_line``: each use with every definition that reaches it along the control flow.
 
     A definition travels from its line along the edges until a line that defines the variable again. Each step moves only
-    what is new and cuts the lineage; the state is bounded by lines times definitions of a function.
+    what is new and cuts the lineage; the state is bounded by lines times definitions of a function, and so are the steps,
+    which go on until nothing is new.
     """
     defs = cut(refs.where("is_def").select("func", "var", "line_no").distinct())
     flow = cut(edges.where("dst <> 0").select("func", "src", "dst").distinct())
     frontier = defs.select("func", "var", F.col("line_no").alias("def_line"), F.col("line_no").alias("at"))
     found = None
-    for _ in range(steps):
+    for step in count(1):
         moved = frontier.join(flow, (frontier["func"] == flow["func"]) & (frontier["at"] == flow["src"])).select(frontier["func"], "var", "def_line", F.col("dst").alias("at")).distinct()
         fresh = moved if found is None else moved.join(found, ["func", "var", "def_line", "at"], "left_anti")
         fresh = cut(fresh)
         if fresh.isEmpty():
             break
         found = fresh if found is None else found.unionByName(fresh)
+        found = found if step % FOLD else cut(found)
         frontier = fresh.join(defs.withColumnRenamed("line_no", "at"), ["func", "var", "at"], "left_anti")
     uses = refs.where("not is_def").select("func", "var", F.col("line_no").alias("use_line")).distinct()
     if found is None:
@@ -196,20 +202,22 @@ def line_dependencies(edges: DataFrame) -> DataFrame:
     return both.groupBy("func", "line_no").agg(*[F.count_if(F.col("way") == x).alias(x) for x in ("control_in", "control_out", "data_in", "data_out")])
 
 
-def slices(edges: DataFrame, criteria: DataFrame, backward: bool = True, var: str | None = None, steps: int = 60) -> DataFrame:
+def slices(edges: DataFrame, criteria: DataFrame, backward: bool = True, var: str | None = None) -> DataFrame:
     """``func, line_no, slice_line``: the lines that a criterion ``func, line_no`` depends on, or that depend on it.
 
     Control edges always count, data edges only with the given variable if there is one. The criterion belongs to its slice.
+    Chains are followed to their ends.
     """
     e = edges if var is None else edges.where((F.col("dep") == "control") | (F.col("label") == var))
     a, b = ("dst", "src") if backward else ("src", "dst")
     e = cut(e.select("func", F.col(a).alias("near"), F.col(b).alias("far")).distinct())
     frontier = cut(criteria.select("func", "line_no", F.col("line_no").alias("slice_line")).distinct())
     found = frontier
-    for _ in range(steps):
+    for step in count(1):
         following = frontier.join(e, (frontier["func"] == e["func"]) & (frontier["slice_line"] == e["near"])).select(frontier["func"], "line_no", F.col("far").alias("slice_line")).distinct()
         frontier = cut(following.join(found, ["func", "line_no", "slice_line"], "left_anti"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        found = found if step % FOLD else cut(found)
     return found

@@ -117,6 +117,17 @@ def test_data_flow(spark, rows):
     assert sorted(r.slice_line for r in flow.slices(edges, first, backward=False, var="other").collect()) == [15]
 
 
+def test_long_functions_are_followed_to_their_ends(spark):
+    """A use 70 statements below its definition, and a chain of as many dependences."""
+    n = 70
+    edges = spark.createDataFrame([("f", k, k + 1, "unconditional") for k in range(1, n)], "func string, src int, dst int, edge string").coalesce(1)
+    refs = spark.createDataFrame([("f", "x", 1, True), ("f", "x", n, False)], "func string, var string, line_no int, is_def boolean").coalesce(1)
+    assert [tuple(r) for r in flow.reaching_definitions(edges, refs).collect()] == [("f", "x", 1, n)]
+    chain = edges.selectExpr("func", "src", "dst", "'data' as dep", "'x' as label")
+    last = spark.createDataFrame([("f", n)], "func string, line_no int").coalesce(1)
+    assert sorted(r.slice_line for r in flow.slices(chain, last).collect()) == list(range(1, n + 1))
+
+
 def test_extraction(spark, rows):
     files = spark.createDataFrame([("a.py", "import os\nfrom x.y import z\nclass A(B, C):\n    def f(self):\n        self.g(h(1), 'k(2)')\n"), ("b.ts", 'import { Q } from "./q";\nexport interface I {\n}\n'), ("c.txt", "class No")], "path string, content string")
     source = extraction.source_lines(files)
