@@ -156,7 +156,7 @@ def test_bare_status_needs_recurrence(spark):
 
 RULED = [
     ("You must allow cookies.", "script_notice"), ("Please turn on scripts.", "script_notice"), ("Scripts are blocked, so this page cannot be shown.", "script_notice"), ("We detected that scripts are off.", "script_notice"), ("Scripts may be disabled.", "script_notice"),
-    ("dolor amet consectetur adipiscing eiusmod tempor", "filler"), ("tandem fervet estive grandio quaelis cordis", "filler"), ("one two three, one two three, one two three, one two three", "filler"), ("Scripts are short programs.", ""),
+    ("dolor amet consectetur adipiscing eiusmod tempor", "filler"), ("tandem amet fervet estive grandio quaelis cordis", "filler"), ("one two three, one two three, one two three, one two three", "filler"), ("Scripts are short programs.", ""),
 ]
 
 
@@ -166,6 +166,33 @@ def test_no_line_is_kept_from_the_rules(spark):
     assert {i: found.get(i, "") for i in range(len(RULED))} == {i: rule for i, (_, rule) in enumerate(RULED)}
 
 
+def test_every_rule_names_a_text_that_it_needs():
+    for group in (*residue.PHRASES.values(), *residue.BROAD.values()):
+        for key, pattern in group:
+            needed = re.sub(r"\([^()]*\)", "()", re.sub(r"\([^()]*\)\??", "()", pattern))
+            assert all(k in branch or k.split()[0] in branch for branch in needed.split("|") for k in [key.removesuffix("s")]), (key, pattern)
+
+
+RECURS = [
+    ("The upstream host did not respond.", True), ("Scheduled maintenance", True), ("We measured how often the upstream host did not respond.", False), ("The upstream host did not respond, which is why the second half of this chapter describes at length how to ask again.", False),
+]
+
+
+def test_recurrence_decides_on_broad_rules(spark):
+    """The same message is residue in three documents of two sources, and none in two documents or in one source."""
+    texts = [f"Heading\n{t}\nreal text follows" for t, _ in RECURS]
+    for sources, flagged in ((["a", "b", "a"], True), (["a", "b"], False), (["a", "a", "a", "A "], False)):
+        df = spark.createDataFrame([(10 * i + k, t, s) for i, t in enumerate(texts) for k, s in enumerate(sources)], "doc_id bigint, text string, source string")
+        found = {r.doc_id // 10 for r in residue.residue_documents(df).collect()}
+        assert found == {i for i, (_, rule) in enumerate(RECURS) if rule and flagged}
+
+
+def test_eligible_lines():
+    text = "  > ```\n{{ name }}\n> ```\n\nIt says `{{ name }}` here\nDear {{ name }},\nhttp://x/404 broke\nHTTP 404\nİİ {{ x }}\nnothing"
+    assert [(at, line) for at, line in residue.eligible_lines(text) if at] == [(1, "Dear {{ name }},"), (2, "http://x/404 broke"), (3, "HTTP 404"), (4, "İİ {{ x }}")]
+    assert residue.eligible_lines(None) == residue.eligible_lines("") == []
+
+
 def test_message_counts_are_exact(spark):
     n = 3000
     df = spark.range(n).selectExpr("id as doc_id", "'Please turn on scripts.\nPlease turn on scripts.' as text", "concat('s', id % 700) as source")
