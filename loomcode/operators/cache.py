@@ -1,10 +1,9 @@
-"""Content-addressed cache: probing by hash, hit rates, shards, and what an eviction keeps."""
+"""Content-addressed cache: probing by hash and hit rates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def content_key(text: Column) -> Column:
@@ -26,20 +25,3 @@ def hit_rate(hits: Column) -> Column:
     """hits / lookups; 0 without a lookup."""
     return F.when(F.count("*") == 0, F.lit(0.0)).otherwise(F.count_if(hits) / F.count("*"))
 
-
-def shard(key: Column, shards: int) -> Column:
-    """The polynomial hash h * 31 + character, kept in 32 bits, modulo the number of shards."""
-    codes = F.transform(F.split(key, ""), lambda c: F.ascii(c).cast("bigint"))
-    folded = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c) % F.lit(1 << 32))
-    return folded % shards
-
-
-def keep_recent(accesses: DataFrame, key: str, at: str, size: Column, max_items: int, max_bytes: int, shards: int) -> DataFrame:
-    """``shard, key, last_access, size`` of what a cache of so many items and bytes in each shard keeps at the end.
-
-    Each key has its last access; of equal times the greater key is the more recent.
-    """
-    last = accesses.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.max(at).alias("last_access"), F.max(size).cast("bigint").alias("size")).withColumn("shard", shard(F.col("key"), shards))
-    recent = Window.partitionBy("shard").orderBy(F.desc("last_access"), F.desc("key"))
-    ranked = last.withColumn("place", F.row_number().over(recent)).withColumn("held", F.sum("size").over(recent.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return ranked.where((F.col("place") <= max_items) & (F.col("held") < max_bytes)).select("shard", "key", "last_access", "size")

@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from loomcode.operators.text_search import lines
 from loomcode.session import cut
 
-#: Deeper levels count as this one.
-DEEPEST = 9
+#: Edges of a closure are squared while they have at most so many times the rows they had.
+SQUARED = 8
 #: After so many steps of a frontier what was found is written as one, so that the plan stays short however many follow.
 FOLD = 60
 # What a line starts with, and words that are no variables.
@@ -55,15 +55,20 @@ def function_lines(files: DataFrame, functions: DataFrame) -> DataFrame:
     own = own.where("func is not null")
     inside = Window.partitionBy("path", "first_line").orderBy("line_no")
     marks = F.size(F.split("text", "\"\"\"|'''", -1)) - 1
-    own = own.withColumn("closed", F.max(F.when((F.col("text") != "") & (F.col("line_no") > F.col("first_line")) & (F.col("indent") <= F.col("head_indent")), 1).otherwise(0)).over(inside))
+    own = own.withColumn("closed", F.max(F.when((F.col("text") != "") & (F.col("line_no") > F.col("first_line")) & (F.col("indent") <= F.col("head_indent")) & ~F.col("text").rlike(r"^[)\]{]"), 1).otherwise(0)).over(inside))
     own = own.where("closed = 0").withColumn("marks", marks).withColumn("quoted", F.sum("marks").over(inside) - F.col("marks"))
-    code = own.where((F.col("text") != "") & (F.col("quoted") % 2 == 0) & (F.col("marks") == 0) & ~F.col("text").rlike(r"^(?://|#|/\*|\*)") & ~F.col("text").rlike(r"^[\])}]+;?,?$|^end$"))
+    code = own.where((F.col("text") != "") & (F.col("quoted") % 2 == 0) & (F.col("marks") == 0) & ~F.col("text").rlike(r"^(?://|#|/\*|\*)") & ~F.col("text").rlike(r"^[\])}]+;?,?$|^end$") & ((F.col("line_no") == F.col("first_line")) | (F.col("indent") > F.col("head_indent"))))
     unit = F.min(F.when(F.col("line_no") > F.col("first_line"), F.col("indent") - F.col("head_indent"))).over(Window.partitionBy("path", "first_line"))
-    level = F.when(F.col("line_no") == F.col("first_line"), 0).otherwise(F.least(F.lit(DEEPEST), F.greatest(F.lit(1), F.floor((F.col("indent") - F.col("head_indent")) / unit)))).cast("int")
+    level = F.when(F.col("line_no") == F.col("first_line"), 0).otherwise(F.greatest(F.lit(1), F.floor((F.col("indent") - F.col("head_indent")) / unit))).cast("int")
     kind = F.when(F.col("line_no") == F.col("first_line"), "entry").when(F.col("text").rlike(LOOP), "loop").when(F.col("text").rlike(BRANCH), "branch").when(F.col("text").rlike(ELSE), "else").when(F.col("text").rlike(LEAVE), "leave").when(F.col("text").rlike(JUMP), "jump").otherwise("plain")
     return code.withColumn("level", level).withColumn("kind", kind).select("func", "line_no", "first_line", "level", "kind", "text")
 
 
+def deepest(table: DataFrame) -> int:
+    """The deepest level of any line: so many windows are needed to look for the lines around."""
+    return table.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+
+
 def complexity(table: DataFrame) -> DataFrame:
     """``func, complexity, n_lines, depth, n_loops, n_leaves``: 1 and a point for each branch, loop and joined condition."""
     joined = F.when(F.col("kind") != "entry", F.regexp_count("text", F.lit(JOINED))).otherwise(0)
@@ -82,7 +87,8 @@ def basic_blocks(table: DataFrame) -> DataFrame:
 
 
 def flow_edges(table: DataFrame) -> DataFrame:
-    """``func, src, dst, edge``: the control-flow graph on lines; the exit is line 0.
+    """``func, src, dst, edge``: the control-flow graph on lines; the exit is line 0. The table is read twice, so it should
+    be a written one.
 
     A branch has a true edge into its block and a false edge to its next clause or past it; a loop a true and a false edge;
     the end of a block goes back to the innermost loop that ends with it, else past its clauses.
@@ -92,9 +98,10 @@ def flow_edges(table: DataFrame) -> DataFrame:
     is_else = F.col("kind").isin("else") | (F.col("text").rlike(ELSE) & (F.col("kind") == "branch"))
     t = table.withColumn("clause", is_else).withColumn("next", F.lead("line_no").over(w)).withColumn("next_level", F.lead("level").over(w)).withColumn("next_clause", F.lead("clause").over(w))
     spot = F.struct("line_no", "level")
-    after = [F.first(F.when((F.col("level") <= n) & ~F.col("clause"), spot), True).over(ahead) for n in range(DEEPEST + 1)]
-    either = [F.first(F.when(F.col("level") <= n, F.col("line_no")), True).over(ahead) for n in range(DEEPEST + 1)]
-    above = [F.last(F.when(F.col("level") == n, F.struct("line_no", "level", "kind", F.col("text").rlike(r"^(?:case|default)\b").alias("case"))), True).over(behind) for n in range(DEEPEST + 1)]
+    levels = range(deepest(table) + 1)
+    after = [F.first(F.when((F.col("level") <= n) & ~F.col("clause"), spot), True).over(ahead) for n in levels]
+    either = [F.first(F.when(F.col("level") <= n, F.col("line_no")), True).over(ahead) for n in levels]
+    above = [F.last(F.when(F.col("level") == n, F.struct("line_no", "level", "kind", F.col("text").rlike(r"^(?:case|default)\b").alias("case"))), True).over(behind) for n in levels]
     t = t.select("*", F.array(*after).alias("after"), F.array(*either).alias("either"), F.array(*above).alias("above"))
     loops = F.filter(F.slice("above", 1, F.greatest(F.col("level"), F.lit(0))), lambda x: x["kind"] == "loop")
     t = t.withColumn("loop", F.get(F.reverse(loops), F.lit(0))).withColumn("past", F.get("after", F.greatest(F.col("level") - 1, F.lit(0))))
@@ -190,7 +197,7 @@ def dependence_edges(table: DataFrame, data: DataFrame) -> DataFrame:
     """``func, src, dst, dep, label``: control edges from the line that holds a block to each of its lines, data edges from
     definitions to uses; no line depends on itself."""
     behind = Window.partitionBy("func", "first_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.array(*[F.last(F.when(F.col("level") == n, F.col("line_no")), True).over(behind) for n in range(DEEPEST)])
+    above = F.array(*[F.last(F.when(F.col("level") == n, F.col("line_no")), True).over(behind) for n in range(deepest(table))])
     control = table.withColumn("above", above).where("level > 0").select("func", F.get(F.reverse(F.filter(F.slice("above", F.lit(1), F.col("level")), lambda x: x.isNotNull())), F.lit(0)).alias("src"), F.col("line_no").alias("dst"), F.lit("control").alias("dep"), F.lit("").alias("label"))
     flows = data.where("def_line <> use_line").select("func", F.col("def_line").alias("src"), F.col("use_line").alias("dst"), F.lit("data").alias("dep"), F.col("var").alias("label"))
     return control.where("src is not null").unionByName(flows)
@@ -210,14 +217,20 @@ def slices(edges: DataFrame, criteria: DataFrame, backward: bool = True, var: st
     """
     e = edges if var is None else edges.where((F.col("dep") == "control") | (F.col("label") == var))
     a, b = ("dst", "src") if backward else ("src", "dst")
-    e = cut(e.select("func", F.col(a).alias("near"), F.col(b).alias("far")).distinct())
+    hops = cut(e.select("func", F.col(a).alias("near"), F.col(b).alias("far")).distinct())
+    most = SQUARED * hops.count()
     frontier = cut(criteria.select("func", "line_no", F.col("line_no").alias("slice_line")).distinct())
-    found = frontier
+    found, grows = frontier, True
     for step in count(1):
-        following = frontier.join(e, (frontier["func"] == e["func"]) & (frontier["slice_line"] == e["near"])).select(frontier["func"], "line_no", F.col("far").alias("slice_line")).distinct()
+        following = frontier.join(hops.withColumnRenamed("near", "slice_line"), ["func", "slice_line"]).select("func", "line_no", F.col("far").alias("slice_line")).distinct()
         frontier = cut(following.join(found, ["func", "line_no", "slice_line"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionByName(frontier)
         found = found if step % FOLD else cut(found)
-    return found
+        if grows:
+            # Twice the hops a step, as long as that many edges stay in proportion to the input.
+            twice = hops.unionByName(hops.withColumnRenamed("far", "mid").join(hops.withColumnRenamed("near", "mid"), ["func", "mid"]).select("func", "near", "far")).distinct()
+            twice = cut(twice)
+            grows = twice.count() <= most
+            hops = twice if grows else hops

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcode.plans import code, flow_queries, problems, search, state
+from loomcode.plans import code, flow_queries, search, state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **code.QUERIES, **flow_queries.QUERIES, **state.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**search.SQL, **code.SQL, **flow_queries.SQL, **state.SQL, **problems.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **code.QUERIES, **flow_queries.QUERIES, **state.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **code.SQL, **flow_queries.SQL, **state.SQL}

@@ -21,7 +21,7 @@ def cfg_complexity(spark, d):
 
 
 def cfg_edges(spark, d):
-    return flow.flow_edges(_lines(spark, d))
+    return flow.flow_edges(cut(_lines(spark, d)))
 
 
 def cfg_blocks(spark, d):
@@ -79,6 +79,10 @@ def slice_forward(spark, d):
 QUERIES = {f.__name__: f for f in (flow_lines, cfg_complexity, cfg_blocks, cfg_edges, dfg_refs, def_use_chains, reaching_defs, pdg_edges, pdg_line_dependencies, slice_backward, slice_forward, slice_source)}
 
 
+#: The SQL looks so many levels deep, which is deeper than any line of the given tables.
+LEVELS = 24
+
+
 def _re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -89,10 +93,10 @@ st AS (SELECT path, line_number AS line_no, min(path || ':' || CASE WHEN coalesc
 fl AS (SELECT path, unnest(range(1, len(a) + 1)) AS line_no, replace(unnest(a), chr(9), '    ') AS line FROM (SELECT path, regexp_split_to_array(content, '\\r?\\n') AS a FROM (SELECT DISTINCT path, content FROM files WHERE content IS NOT NULL AND path IN (SELECT path FROM st)))),
 q1 AS (SELECT fl.*, st.id, length(regexp_extract(line, '^( *)', 1)) AS indent, trim(line, ' ') AS text FROM fl LEFT JOIN st USING (path, line_no)),
 q2 AS (SELECT *, last_value(CASE WHEN id IS NOT NULL THEN line_no END IGNORE NULLS) OVER w AS first_line, last_value(id IGNORE NULLS) OVER w AS func, last_value(CASE WHEN id IS NOT NULL THEN indent END IGNORE NULLS) OVER w AS head_indent FROM q1 WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
-q3 AS (SELECT *, max((text <> '' AND line_no > first_line AND indent <= head_indent)::INT) OVER (PARTITION BY path, first_line ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS closed, len(regexp_extract_all(text, '\"\"\"|''''''')) AS marks FROM q2 WHERE func IS NOT NULL),
+q3 AS (SELECT *, max((text <> '' AND line_no > first_line AND indent <= head_indent AND NOT regexp_matches(text, '^[)\\]{{]'))::INT) OVER (PARTITION BY path, first_line ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS closed, len(regexp_extract_all(text, '\"\"\"|''''''')) AS marks FROM q2 WHERE func IS NOT NULL),
 q4 AS (SELECT *, sum(marks) OVER (PARTITION BY path, first_line ORDER BY line_no ROWS UNBOUNDED PRECEDING) - marks AS quoted FROM q3 WHERE closed = 0),
-q5 AS (SELECT *, min(CASE WHEN line_no > first_line THEN indent - head_indent END) OVER (PARTITION BY path, first_line) AS unit FROM q4 WHERE text <> '' AND quoted % 2 = 0 AND marks = 0 AND NOT regexp_matches(text, '^(?://|#|/\\*|\\*)') AND NOT regexp_matches(text, '^[\\])}}]+;?,?$|^end$')),
-t AS (SELECT func, line_no, first_line, text, CASE WHEN line_no = first_line THEN 0 ELSE least({flow.DEEPEST}, greatest(1, (indent - head_indent) // unit)) END AS level,
+q5 AS (SELECT *, min(CASE WHEN line_no > first_line THEN indent - head_indent END) OVER (PARTITION BY path, first_line) AS unit FROM q4 WHERE text <> '' AND quoted % 2 = 0 AND marks = 0 AND NOT regexp_matches(text, '^(?://|#|/\\*|\\*)') AND NOT regexp_matches(text, '^[\\])}}]+;?,?$|^end$') AND (line_no = first_line OR indent > head_indent)),
+t AS (SELECT func, line_no, first_line, text, CASE WHEN line_no = first_line THEN 0 ELSE greatest(1, (indent - head_indent) // unit) END AS level,
       CASE WHEN line_no = first_line THEN 'entry' WHEN regexp_matches(text, '{_re2(flow.LOOP)}') THEN 'loop' WHEN regexp_matches(text, '{_re2(flow.BRANCH)}') THEN 'branch' WHEN regexp_matches(text, '{_re2(flow.ELSE)}') THEN 'else' WHEN regexp_matches(text, '{_re2(flow.LEAVE)}') THEN 'leave' WHEN regexp_matches(text, '{_re2(flow.JUMP)}') THEN 'jump' ELSE 'plain' END AS kind FROM q5)
 """
 LINES_SQL = _T
@@ -105,11 +109,11 @@ refs AS (SELECT DISTINCT func, unnest(regexp_extract_all(regexp_extract(bare, '\
 du AS (SELECT func, var, def_line, line_no AS use_line FROM (SELECT *, last_value(CASE WHEN is_def THEN line_no END IGNORE NULLS) OVER (PARTITION BY func, var ORDER BY line_no, is_def::INT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def_line FROM refs) WHERE NOT is_def AND def_line IS NOT NULL)
 """
 _PDG = _REFS + f""",
-ab AS (SELECT *, [{', '.join(f"last_value(CASE WHEN level = {n} THEN line_no END IGNORE NULLS) OVER w" for n in range(flow.DEEPEST))}] AS above FROM t WINDOW w AS (PARTITION BY func, first_line ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ab AS (SELECT *, [{', '.join(f"last_value(CASE WHEN level = {n} THEN line_no END IGNORE NULLS) OVER w" for n in range(LEVELS))}] AS above FROM t WINDOW w AS (PARTITION BY func, first_line ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ce AS (SELECT func, list_filter(above[1:level], lambda x: x IS NOT NULL)[-1] AS src, line_no AS dst FROM ab WHERE level > 0),
 pe AS (SELECT func, src, dst, 'control' AS dep, '' AS label FROM ce WHERE src IS NOT NULL UNION ALL SELECT func, def_line, use_line, 'data', var FROM du WHERE def_line <> use_line)
 """
-_N = range(flow.DEEPEST + 1)
+_N = range(LEVELS + 1)
 _CFG = f""",
 x1 AS (SELECT *, (kind = 'else' OR kind = 'branch' AND regexp_matches(text, '{_re2(flow.ELSE)}')) AS clause FROM t),
 x2 AS (SELECT *, lead(line_no) OVER o AS nxt, lead(level) OVER o AS nl, lead(clause) OVER o AS nc, first_value(CASE WHEN clause THEN line_no END IGNORE NULLS) OVER a AS clause_at,

@@ -63,14 +63,6 @@ def content_groups(spark, d):
     return docs.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
 
 
-def shard_assign(spark, d):
-    return load(spark, d, "customer").select("c_custkey", cache.shard(F.col("c_name"), 16).alias("shard"))
-
-
-def cache_keep_recent(spark, d):
-    return cache.keep_recent(load(spark, d, "events"), "user_id", "ts", F.octet_length("props") * 64, 12, 16_000, 4)
-
-
 def asof_last_signup(spark, d):
     """Each purchase with the user's last signup before it: an as-of join as one window."""
     last = "last(case when event_type = 'signup' then event_id end, true) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)"
@@ -95,7 +87,7 @@ def same_file_calls(spark, d):
     return extraction.same_file_edges(extraction.call_sites(extraction.source_lines(files)), table, functions)
 
 
-QUERIES = {f.__name__: f for f in (dirty_diff, dirty_counts, state_merge, state_clear, notify_batches, stream_first_notices, stream_daily, cache_probe, cache_misses, content_groups, shard_assign, cache_keep_recent, asof_last_signup, source_declarations, source_imports, source_calls, same_file_calls)}
+QUERIES = {f.__name__: f for f in (dirty_diff, dirty_counts, state_merge, state_clear, notify_batches, stream_first_notices, stream_daily, cache_probe, cache_misses, content_groups, asof_last_signup, source_declarations, source_imports, source_calls, same_file_calls)}
 
 _S = "s AS (SELECT path, coalesce(hash, '') AS hash, coalesce(is_dirty, false) AS is_dirty, coalesce(last_seen, -1) AS last_seen FROM file_state WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY coalesce(last_seen, -1) DESC, coalesce(is_dirty, false) DESC, coalesce(hash, '') DESC) = 1)"
 _DIFF = f"""WITH {_S}, n AS (SELECT path, max(sha256(coalesce(content, ''))) AS current FROM files WHERE path IS NOT NULL GROUP BY 1),
@@ -136,11 +128,6 @@ SQL = {
     "cache_misses": """WITH k AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE text IS NOT NULL AND fetched_at < TIMESTAMP '2024-07-01')
         SELECT DISTINCT sha256(text) AS key, strlen(text) // 4 AS tokens FROM documents WHERE text IS NOT NULL AND fetched_at >= TIMESTAMP '2024-07-01' AND sha256(text) NOT IN (SELECT key FROM k)""",
     "content_groups": "SELECT sha256(text) AS key, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "shard_assign": "SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 16 AS shard FROM customer",
-    "cache_keep_recent": """WITH l AS (SELECT user_id::VARCHAR AS key, max(ts) AS last_access, max(strlen(props) * 64)::BIGINT AS size FROM events WHERE user_id IS NOT NULL GROUP BY 1),
-        h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 4 AS shard FROM l),
-        r AS (SELECT *, row_number() OVER w AS place, sum(size) OVER (PARTITION BY shard ORDER BY last_access DESC, key DESC ROWS UNBOUNDED PRECEDING) AS held FROM h WINDOW w AS (PARTITION BY shard ORDER BY last_access DESC, key DESC))
-        SELECT shard, key, last_access, size FROM r WHERE place <= 12 AND held < 16000""",
     "asof_last_signup": """WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS signup FROM events)
         SELECT event_id, user_id, signup FROM e WHERE event_type = 'purchase' AND signup IS NOT NULL""",
     "source_declarations": _SRC + f""", c AS (SELECT *, {_cases(extraction.CLASSES)} AS cls, {_cases(extraction.INTERFACES)} AS itf FROM src)

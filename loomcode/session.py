@@ -48,12 +48,15 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of its own only where none is set."""
+    """The shared folder named by the cluster. Only a local session without one gets a folder of its own: on a cluster every
+    machine would see another, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomcode-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -31,7 +31,7 @@ def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED, m
     if excluded:
         found = found.where(~paths.in_directory(F.col("path"), *excluded))
     kept = found.join(ignored(found.select("path"), rules), "path", "left_anti")
-    return kept.select("path", "size", "modified_at", paths.detect_language(F.col("path")).alias("language"), F.expr("try_validate_utf8(content)").alias("content"))
+    return kept.select("path", "size", "modified_at", paths.detect_language(F.col("path")).alias("language"), F.expr("make_valid_utf8(cast(content as string))").alias("content"))
 
 
 def ignore_files(files: DataFrame, root: str) -> DataFrame:

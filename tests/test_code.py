@@ -134,3 +134,18 @@ def test_extraction(spark, rows):
     assert rows(extraction.declarations(source)) == [("a.py", 3, "class", "A", "B,C"), ("b.ts", 2, "interface", "I", "")]
     assert rows(extraction.imports(source)) == [("a.py", 1, "os", False), ("a.py", 2, "x.y", True), ("b.ts", 1, "./q", True)]
     assert rows(extraction.call_sites(source).where("line_no = 5").select("base", "name", "call_type")) == [("", "h", "local"), ("self", "g", "method")]
+
+
+def test_long_chains_and_deep_levels(spark, rows):
+    """A slice of 200 links is whole, as is nesting below any fixed level; a wrapped parameter list belongs to the head."""
+    n = 200
+    edges = spark.createDataFrame([("f", k, k + 1, "data", "x") for k in range(1, n)], "func string, src int, dst int, dep string, label string")
+    last = spark.createDataFrame([("f", n)], "func string, line_no int")
+    assert sorted(r.slice_line for r in flow.slices(edges, last).collect()) == list(range(1, n + 1))
+    body = "".join("    " * k + f"if a{k}:\n" for k in range(1, 15)) + "    " * 15 + "x = 1\n"
+    files = spark.createDataFrame([("p/a.py", "def f(\n    a,\n):\n" + body)], "path string, content string")
+    functions = spark.createDataFrame([("p/a.py", "", "f", 1)], "path string, owner string, name string, line_number int")
+    table = flow.function_lines(files, functions)
+    assert flow.deepest(table) == 15
+    parents = {r.dst: r.src for r in flow.dependence_edges(table, flow.nearest_definitions(flow.references(table))).where("dep = 'control'").collect()}
+    assert all(parents[k] == k - 1 for k in range(5, 19))

@@ -14,13 +14,13 @@ from loomcode.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-COMPARED = ["p2_found", "p4_found", "vec_topk_cosine", "text_grep_context", "ignored_files", "path_tree", "call_resolution", "impact_transitive", "cfg_complexity", "pdg_edges", "slice_backward", "dirty_diff", "notify_batches", "source_imports", "function_signatures", "unit_embedding_text"]
+COMPARED = ["vec_topk_cosine", "text_grep_context", "ignored_files", "path_tree", "call_resolution", "impact_transitive", "cfg_complexity", "pdg_edges", "slice_backward", "dirty_diff", "notify_batches", "source_imports", "function_signatures", "unit_embedding_text"]
 
 
 def test_names():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
-    assert {"p2_found", "p4_found", "vec_topk_cosine"} <= set(catalogue.QUERIES)
+    assert {"vec_topk_cosine", "call_resolution"} <= set(catalogue.QUERIES)
 
 
 @needs_data

@@ -40,17 +40,6 @@ def test_cache(spark, rows):
     assert rows(cache.probe(texts, known).select("text", "hit")) == [("a", True), ("b", False), ("b", False), (None, False)]
     assert sorted(r.key for r in cache.misses(texts, known).collect()) == sorted([_sha("b"), _sha("")])
     assert cache.probe(texts.where("false"), known).agg(cache.hit_rate(F.col("hit"))).first()[0] == 0.0
-    h = 0
-    for c in "abc":
-        h = (h * 31 + ord(c)) % 2**32
-    assert spark.range(1).select(cache.shard(F.lit("abc"), 16)).first()[0] == h % 16
-
-
-def test_keep_recent(spark, rows):
-    log = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("a", 4), (None, 9)], "k string, at int")
-    kept = cache.keep_recent(log, "k", "at", F.lit(10), 2, 1000, 1)
-    assert rows(kept.select("key", "last_access")) == [("a", 4), ("c", 3)]
-    assert rows(cache.keep_recent(log, "k", "at", F.lit(10), 9, 21, 1).select("key")) == [("a",), ("c",)]
 
 
 def test_streams(spark, rows, tmp_path):
