@@ -103,6 +103,40 @@ def test_many_copies(spark):
     assert handwritten.contained_copies(df).count() <= 2 * 60
 
 
+def test_a_copy_is_found_whatever_its_lines_stand_in(spark):
+    """Each line of two identical files also stands in one file of a lower and one of a higher repository."""
+    base = _source(31, 12)
+    files = [("m1/a.py", "\n".join(base)), ("m2/b.py", "\n".join(base))]
+    for k, line in enumerate(base):
+        for repo in ("a0", "z9"):
+            files.append((f"{repo}/f{k}.py", "\n".join([line, *_source(500 + 2 * k + (repo == "z9"), 30)])))
+    df = spark.createDataFrame(files, "path string, content string")
+    assert {r.path for r in handwritten.not_handwritten(df).collect()} == {"m1/a.py", "m2/b.py"}
+
+
+@pytest.mark.parametrize("rare", [2, 32])
+def test_edited_copies_against_brute_force(spark, rare):
+    """Families of edited copies, more versions than a rare line may have; every file against every other."""
+    r = random.Random(8)
+    files = {}
+    for family in range(4):
+        base = _source(900 + family, 20)
+        for v in range(12):
+            kept = [x for x in base if r.random() < 0.9]
+            files[f"r{v}/f{family}.py"] = kept + _source(10_000 + 50 * family + v, r.choice([1, 4, 12, 20]))
+    for k in range(60):
+        files[f"r{k % 9}/own{k}.py"] = _source(20_000 + k, 15) + [f"shared line number {k % 5} for all of us"]
+    sets = {p: frozenset(x) for p, x in files.items()}
+    n = len(set(sets.values()))
+    df = {x: sum(x in s for s in set(sets.values())) for s in sets.values() for x in s}
+    w = lambda lines: sum(math.log(n / df[x]) for x in lines)
+    expected = {p for p, s in sets.items() for q, o in sets.items() if p.split("/")[0] != q.split("/")[0] and len(s & o) >= 3 and w(s & o) >= max(0.6 * w(s), math.log(n) + 3)}
+    table = spark.createDataFrame([(p, "\n".join(x)) for p, x in files.items()], "path string, content string")
+    names = {r.h: r.path for r in table.select("path", F.xxhash64("path").alias("h")).collect()}
+    assert {names[r.file] for r in handwritten.contained_copies(table, rare=rare).collect()} == expected
+    assert 10 < len(expected) < 48
+
+
 ITEM = "Write a function that ranks canal locks by creation order and mirrors those weather balloons whose indent level exceeds 6078 for all of them."
 
 
