@@ -1,4 +1,4 @@
-"""Syntax checks for source files: one lexer, and a push-down check with statement rules for each language.
+"""Syntax checks for source files: one lexer, and push-down checks with statement and expression rules for each language.
 
 The check is stricter than bracket matching (statement heads, operand adjacency, dangling operators, block ends) and
 accepts any text that a full parser accepts in the common subset of each language. Python uses the standard parser.
@@ -7,8 +7,14 @@ accepts any text that a full parser accepts in the common subset of each languag
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 import warnings
+from collections.abc import Iterator
+from itertools import islice
+
+from loomcode.llm import grammar
 
 # Reserved and contextual words, file extensions.
 KEYWORDS = {
@@ -69,9 +75,8 @@ _JSX = re.compile(r"(?:return|=>|[(=?:&])\s*\(?\s*<(?:[A-Za-z][\w.]*(?:\s+[\w-]+
 _DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\]|\\.|\\\n)*", re.M)
 
 
-def lex(text: str, language: str) -> list[tuple[str, str, bool]]:
+def lex(text: str, language: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, whether it is the first on its line) of each token without comments."""
-    out: list[tuple[str, str, bool]] = []
     fresh = True
     keywords = KEYWORDS[language]
     for m in _LEXERS[language].finditer(text):
@@ -84,11 +89,10 @@ def lex(text: str, language: str) -> list[tuple[str, str, bool]]:
             value = m.group()
             if kind == "word":
                 kind = "kw" if value in keywords else "id"
-            out.append((kind, value, fresh))
+            yield kind, value, fresh
             fresh = False
         elif "\n" in m.group():
             fresh = True
-    return out
 
 
 def check_python(text: str) -> str:
@@ -99,10 +103,24 @@ def check_python(text: str) -> str:
     except (SyntaxError, ValueError) as error:
         return f"{type(error).__name__}: {error}"[:120]
     except (RecursionError, MemoryError):
-        return ""  # nesting beyond this parser's stack says nothing about the file
+        return _nesting(text)
     return ""
 
 
+def _nesting(text: str) -> str:
+    """What is left to check in a program nested beyond the parser's stack: its tokens, brackets and indentation."""
+    open_brackets: list[str] = []
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(text).readline):
+            if token.type == tokenize.OP and token.string in "([{":
+                open_brackets.append(token.string)
+            elif token.type == tokenize.OP and token.string in ")]}" and (not open_brackets or open_brackets.pop() != _PAIR[token.string]):
+                return f"unexpected {token.string}"
+    except (tokenize.TokenError, SyntaxError) as error:
+        return f"{type(error).__name__}: {error}"[:120]
+    return f"{open_brackets[-1]} never closed" if open_brackets else ""
+
+
 def _imports(tokens: list[tuple[str, str, bool]], at: int) -> str:
     """A static import of the script languages must name a module; the empty string if it does."""
     seen_from, depth = False, 0
@@ -164,12 +182,12 @@ def check_php(text: str) -> str:
     if not re.search(r"<\?(?:php\b|=)", text):
         return "no opening tag" if text.strip() else ""
     code = re.sub(r"\?>(?:[^<]|<(?!\?(?:php\b|=)))*(?:<\?(?:php\b|=)|\Z)", ";", re.sub(r"\A(?:[^<]|<(?!\?(?:php\b|=)))*<\?(?:php\b|=)", "", text, count=1))
-    return check_tokens(lex(code, "php"), "php", code)
+    tokens = list(lex(code, "php"))
+    return check_tokens(tokens, "php") or grammar.check(tokens, "php")
 
 
-def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str) -> str:
-    """The first violation found, or the empty string."""
-    jsx = language in ("javascript", "typescript") and bool(_JSX.search(text))
+def check_tokens(tokens: list[tuple[str, str, bool]], language: str, partial: bool = False) -> str:
+    """The first violation found, or the empty string; of a partial list only what stands inside it."""
     longest = {"c": 3, "ruby": 3, "java": 2, "go": 2, "rust": 1, "javascript": 1, "typescript": 1, "php": 1}[language]
     stack: list[str] = []
     chain = 0
@@ -181,9 +199,9 @@ def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str)
     for k, (kind, value, fresh) in enumerate(tokens):
         if kind == "conflict":
             return "conflict marker"
-        if kind == "bad" and not jsx:
+        if kind == "bad":
             return "unclosed literal or comment"
-        if kind == "other" and not jsx and language != "ruby":
+        if kind == "other" and language != "ruby":
             return f"character {value}"
         if not stack and (statement or language == "go" and fresh and kind0 not in ("op", "open") and value0 not in ("func", "type", "var", "const", "import")):
             if value not in ("}", ")", "]"):
@@ -200,7 +218,7 @@ def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str)
                     return "data in place of a statement"
                 if language == "ruby" and kind == "var" and value.endswith(":"):
                     return "key without a call"
-                if language in ("javascript", "typescript") and value == "import" and (why := _imports(tokens, k)):
+                if language in ("javascript", "typescript") and value == "import" and not partial and (why := _imports(tokens, k)):
                     return why
         if kind == "open":
             if language == "rust" and (macro or value0 == "!" and k > 1 and tokens[k - 2][0] in ("id", "kw")):
@@ -212,15 +230,15 @@ def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str)
             if not stack or stack.pop() != _PAIR[value]:
                 return f"unexpected {value}"
             macro = max(0, macro - 1)
-            if value0 in DANGLING and not macro and not jsx and not (language == "ruby" and value0 == "::"):
+            if value0 in DANGLING and not macro and not (language == "ruby" and value0 == "::"):
                 return f"{value0} before {value}"
         elif value == ";" and (value0 in DANGLING or value0 in ("+", "-")) and not macro:
             return f"{value0} before ;"
         if kind == "id":
             chain = chain + 1 if not fresh or chain == 0 else 1
-            if chain > longest and not macro and not jsx:
+            if chain > longest and not macro:
                 return f"words in a row: {value0} {value}"
-            if not fresh and kind0 in ("num", "str") and not macro and not jsx and language not in ("c", "ruby") and not (kind0 == "str" and language == "rust"):
+            if not fresh and kind0 in ("num", "str") and not macro and language not in ("c", "ruby") and not (kind0 == "str" and language == "rust"):
                 return f"operand {value0[:20]} before {value}"
             if language == "go" and stack and stack[-1] == "{" and chain == 2 and k + 1 < len(tokens) and tokens[k + 1][1] in ("=", ":="):
                 return "declaration without var"
@@ -228,13 +246,13 @@ def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str)
                 return "type before name"
         else:
             chain = 0
-            if kind in ("num", "str") and not fresh and kind0 in ("num", "id", "str") and not macro and not jsx:
+            if kind in ("num", "str") and not fresh and kind0 in ("num", "id", "str") and not macro:
                 if not (kind0 == "str" and kind == "str" and language in ("c", "ruby")) and not (language in ("c", "ruby") and kind == "str") and not (language == "rust" and (kind == "str" or kind0 == "str")) and not (kind0 == "id" and language == "ruby") and not (language == "javascript" and kind0 == "id" and kind == "str" and value0 in ("type",)):
                     if not (kind0 == "id" and kind == "str" and (language == "go" and (head == "import" or stack) or language in ("typescript",) and value0 in ("module",))):
                         return f"operand {value0[:20]} before {value[:20]}"
-            if value == ":" and language == "javascript" and stack and stack[-1] == "(" and kind0 == "id" and not jsx and _annotated(tokens, k):
+            if value == ":" and language == "javascript" and stack and stack[-1] == "(" and kind0 == "id" and _annotated(tokens, k):
                 return "type annotation"
-            if value == ":" and language == "javascript" and not jsx and value0 == ")" and k + 1 < len(tokens) and tokens[k + 1][0] in ("id",) and k + 2 < len(tokens) and tokens[k + 2][1] in ("{", "[", "<", "=>"):
+            if value == ":" and language == "javascript" and value0 == ")" and k + 1 < len(tokens) and tokens[k + 1][0] in ("id",) and k + 2 < len(tokens) and tokens[k + 2][1] in ("{", "[", "<", "=>"):
                 return "return type"
             if kind == "kw" and value in ("class", "function", "fn", "func", "def", "interface", "struct", "trait", "enum") and language != "ruby" and k + 1 < len(tokens) and tokens[k + 1][0] in ("num", "str"):
                 return f"{value} before {tokens[k + 1][1]}"
@@ -242,6 +260,8 @@ def check_tokens(tokens: list[tuple[str, str, bool]], language: str, text: str)
         if language in ("javascript", "typescript") and not stack and k + 1 < len(tokens) and tokens[k + 1][2] and kind not in ("op", "open") and value != "from":
             statement = True
         kind0, value0 = kind, value
+    if partial:
+        return ""
     if stack:
         return f"{stack[-1]} never closed"
     if not tokens:
@@ -276,8 +296,15 @@ def _annotated(tokens: list[tuple[str, str, bool]], at: int) -> bool:
     return before in ("(", ",") and at + 1 < len(tokens) and tokens[at + 1][0] in ("id", "kw")
 
 
-def check(text: str, language: str) -> str:
-    """Why a text is no valid program of the language; the empty string if it is one. Empty text is valid."""
+#: Tokens that a foreign grammar reads before it takes a whole file.
+GLANCE = 60
+
+
+def check(text: str, language: str, foreign: bool = False) -> str:
+    """Why a text is no valid program of the language; the empty string if it is one. Empty text is valid.
+
+    A grammar foreign to the file gives up within its first tokens if they already break a rule, which is the same verdict.
+    """
     text = text.removeprefix("﻿").replace("\r\n", "\n")
     if language == "python":
         return check_python(text)
@@ -288,33 +315,113 @@ def check(text: str, language: str) -> str:
         if marker:
             return "conflict marker"
         text = _DIRECTIVE.sub("", text)
-    tokens = lex(text, language)
-    why = check_tokens(tokens, language, text)
-    if not why and language == "ruby":
-        why = _end_stack(tokens)
+    why = _check_text(text, language, foreign)
+    if why and language in ("javascript", "typescript") and _JSX.search(text):
+        plain = without_elements(text)
+        why = why if plain == text else _check_text(plain, language, False)
     return why
 
 
+def _check_text(text: str, language: str, foreign: bool) -> str:
+    stream = lex(text, language)
+    tokens = list(islice(stream, GLANCE))
+    if foreign and len(tokens) == GLANCE and (why := check_tokens(tokens, language, partial=True)):
+        return why
+    tokens += stream
+    why = check_tokens(tokens, language) or grammar.check(tokens, language)
+    return why or (_end_stack(tokens) if language == "ruby" else "")
+
+
+_ELEMENT = re.compile(r"(?:[=(?:&|,{\[;]|=>|\breturn|^)\s*(?=<[A-Za-z>])", re.M)
+_TAG = re.compile(r"<([\w.:-]*)")
+_ATTRIBUTES = re.compile(r"(?:[^<>{}\"'/]|\"[^\"]*\"|'[^']*'|/(?!>)|=>)*")
+_NESTED = re.compile(r"[^{}\"'`]+|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
+
+
+def _braces(text: str, at: int) -> int:
+    """End of the expression in braces that starts there, or -1."""
+    depth = 0
+    while at < len(text):
+        if text[at] == "{":
+            depth += 1
+        elif text[at] == "}":
+            depth -= 1
+            if not depth:
+                return at + 1
+        elif m := _NESTED.match(text, at):
+            at = m.end()
+            continue
+        at += 1
+    return -1
+
+
+def _element_end(text: str, at: int) -> int:
+    """End of the markup element that starts there with all its children, or -1."""
+    names: list[str] = []
+    while at < len(text):
+        if text[at] == "{":
+            at = _braces(text, at)
+            if at < 0:
+                return -1
+        elif text.startswith("</", at):
+            m = re.compile(r"</([\w.:-]*)\s*>").match(text, at)
+            if not m or not names or names.pop() != m.group(1):
+                return -1
+            at = m.end()
+            if not names:
+                return at
+        elif text[at] == "<":
+            m = _TAG.match(text, at)
+            at = _ATTRIBUTES.match(text, m.end()).end()
+            while text[at : at + 1] == "{":
+                at = _braces(text, at)
+                if at < 0:
+                    return -1
+                at = _ATTRIBUTES.match(text, at).end()
+            if text.startswith("/>", at):
+                at += 2
+                if not names:
+                    return at
+            elif text[at : at + 1] == ">":
+                names.append(m.group(1))
+                at += 1
+            else:
+                return -1
+        else:
+            at += 1
+    return -1
+
+
+def without_elements(text: str) -> str:
+    """The text with each complete markup element as one string, which is an operand as the element is."""
+    out, done = [], 0
+    for m in _ELEMENT.finditer(text):
+        if m.end() >= done and (end := _element_end(text, m.end())) > 0:
+            out += [text[done : m.end()], '""']
+            done = end
+    return "".join([*out, text[done:]])
+
+
 _BLOCK_OR_STRING = re.compile("|".join([_LINE, _BLOCK, _D, _S]))
 
-#: Tokens typical of one language, for ranking.
+#: Tokens typical of one language, for ranking: texts of which the pattern needs one, and the pattern.
 SIGNS = {
-    "python": r"^[ \t]*(?:async )?def \w+\([^{;\n]*:[ \t]*$|^[ \t]*(?:elif|except|with|class|for|if|while)\b[^{;\n]*:[ \t]*$|^from [\w.]+ import |\bself\.|^import [\w.]+(?: as \w+)?[ \t]*$|\bNone\b",
-    "go": r"^package \w+\s*$|^func (?:\(|\w+\()|:=|^import \"|^type \w+ (?:struct|interface)\b|\bnil\b",
-    "typescript": r"^import .* from [\"']|\w\??: (?:number|string|boolean|void|any|unknown)\b|^(?:export )?(?:interface|type) \w+|=== |\bPromise<|^export ",
-    "javascript": r"^import .* from [\"']|^(?:export )?(?:async )?function \w+\(|\b(?:let|const) \w+ = |=== |^export |\brequire\(",
-    "java": r"^package [\w.]+;|^import (?:static )?[\w.]+(?:\.\*)?;|\b(?:public|private|protected) (?:static )?[\w<>\[\], ]+\(|\bfinal |\bString\b",
-    "rust": r"^use [\w:]+|\bfn \w+\s*[(<]|\blet mut \b|\bimpl\b|->|::|\w+!\(",
-    "c": r"^#include [<\"]|^#(?:define|ifdef|ifndef|endif)\b|^(?:static |extern )?(?:int|void|char|struct \w+) \*?\w+\(|\bNULL\b|\bconst char \*",
-    "ruby": r"^require(?:_relative)? [\"']|^\s*end\s*$|^\s*def \w+[?!]?(?:\([^)]*\))?\s*$|\bdo \|\w+\||^[ \t]*attr_\w+ :",
-    "php": r"<\?php|\$\w+\s*(?:=|->|\+=|-=)|^use [\w\\]+;|^namespace [\w\\]+;|\bfunction \w+\([^)]*\$",
+    "python": (("def ", r"^[ \t]*(?:async )?def \w+\([^{;\n]*:[ \t]*$"), (":\n", r"^[ \t]*(?:elif|except|with|class|for|if|while)\b[^{;\n]*:[ \t]*$"), ("from ", r"^from [\w.]+ import "), ("self.", r"\bself\."), ("import ", r"^import [\w.]+(?: as \w+)?[ \t]*$"), ("None", r"\bNone\b")),
+    "go": (("package ", r"^package \w+\s*$"), ("func ", r"^func (?:\(|\w+\()"), (":=", ":="), ('import "', r"^import \""), ("type ", r"^type \w+ (?:struct|interface)\b"), ("nil", r"\bnil\b")),
+    "typescript": (("import ", r"^import .* from [\"']"), (": ", r"\w\??: (?:number|string|boolean|void|any|unknown)\b"), ("interface ", r"^(?:export )?interface \w+"), ("type ", r"^(?:export )?type \w+"), ("=== ", "=== "), ("Promise<", r"\bPromise<"), ("export ", r"^export ")),
+    "javascript": (("import ", r"^import .* from [\"']"), ("function ", r"^(?:export )?(?:async )?function \w+\("), ("let ", r"\blet \w+ = "), ("const ", r"\bconst \w+ = "), ("=== ", "=== "), ("export ", r"^export "), ("require(", r"\brequire\(")),
+    "java": (("package ", r"^package [\w.]+;"), ("import ", r"^import (?:static )?[\w.]+(?:\.\*)?;"), ("public ", r"\bpublic (?:static )?[\w<>\[\], ]+\("), ("private ", r"\bprivate (?:static )?[\w<>\[\], ]+\("), ("protected ", r"\bprotected (?:static )?[\w<>\[\], ]+\("), ("final ", r"\bfinal "), ("String", r"\bString\b")),
+    "rust": (("use ", r"^use [\w:]+"), ("fn ", r"\bfn \w+\s*[(<]"), ("let mut ", r"\blet mut \b"), ("impl", r"\bimpl\b"), ("->", "->"), ("::", "::"), ("!(", r"\w+!\(")),
+    "c": (("#include", r"^#include [<\"]"), ("#", r"^#(?:define|ifdef|ifndef|endif)\b"), ("(", r"^(?:static |extern )?(?:int|void|char|struct \w+) \*?\w+\("), ("NULL", r"\bNULL\b"), ("const char *", r"\bconst char \*")),
+    "ruby": (("require", r"^require(?:_relative)? [\"']"), ("end\n", r"^[ \t]*end[ \t]*$"), ("def ", r"^[ \t]*def \w+[?!]?(?:\([^)\n]*\))?[ \t]*$"), ("do |", r"\bdo \|\w+\|"), ("attr_", r"^[ \t]*attr_\w+ :")),
+    "php": (("<?php", r"<\?php"), ("$", r"\$\w+\s*(?:=|->|\+=|-=)"), ("use ", r"^use [\w\\]+;"), ("namespace ", r"^namespace [\w\\]+;"), ("function ", r"\bfunction \w+\([^)]*\$")),
 }
-_SIGNS = {k: re.compile(v, re.M) for k, v in SIGNS.items()}
+_SIGNS = {k: [(needs, re.compile(p, re.M)) for needs, p in v] for k, v in SIGNS.items()}
 
 
 def rank(text: str) -> list[tuple[str, int]]:
     """Languages by the number of their typical tokens in the text, the most first; ties by name."""
-    counts = {k: sum(1 for _ in p.finditer(text)) for k, p in _SIGNS.items()}
+    counts = {k: sum(text.count(needs) if p.pattern == needs else len(p.findall(text)) for needs, p in signs if needs in text) for k, signs in _SIGNS.items()}
     return sorted(counts.items(), key=lambda x: (-x[1], x[0]))
 
 
@@ -326,24 +433,21 @@ def extension_language(path: str | None) -> str:
 def judge(text: str | None, path: str | None) -> tuple[bool, str, str, str]:
     """(broken, cause, language found, first violation) of a file; cause is '', 'wrong_extension' or 'corrupt'.
 
-    The extension's own grammar decides; if it refuses the text, the other grammars are tried in the order of their
-    typical tokens: a foreign parse means a wrong extension, a failure of all a corrupt file. A grammar that accepts a
-    text without any of its own typical tokens gives way to a foreign one that has at least three and accepts it too.
+    Every grammar is tried on every file, in the order of the languages' typical tokens. A file that its own grammar refuses
+    has a wrong extension if a foreign one accepts it, and is corrupt if none does. A grammar that finds none of its own
+    typical tokens in the text proves nothing: it names no language, and it gives way to a foreign one that has at least
+    three of its own and accepts the text too.
     """
     own = extension_language(path)
     if text is None or not own or not text.strip("﻿ \t\r\n"):
         return False, "", own, ""
-    why = check(text, own)
-    if not why:
-        if own == "python":
-            return False, "", own, ""
-        if _SIGNS[own].search(text):
-            return False, "", own, ""
-        best, score = rank(text)[0]
-        if score < 3 or {best, own} <= {"javascript", "typescript"} or check(text, best):
-            return False, "", own, ""
+    ranked = rank(text)
+    verdicts = {language: check(text, language, foreign=language != own) for language, _ in ranked}
+    accepted = [(language, score) for language, score in ranked if score and not verdicts[language]]
+    if verdicts[own]:
+        return (True, "wrong_extension", accepted[0][0], verdicts[own]) if accepted else (True, "corrupt", "", verdicts[own])
+    scores = dict(ranked)
+    best, score = ranked[0]
+    if own != "python" and not scores[own] and score >= 3 and not {best, own} <= {"javascript", "typescript"} and not verdicts[best]:
         return True, "wrong_extension", best, f"typical of {best}"
-    for language, score in rank(text):
-        if score and language != own and not check(text, language):
-            return True, "wrong_extension", language, why
-    return True, "corrupt", "", why
+    return False, "", own, ""
