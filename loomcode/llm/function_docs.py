@@ -1,8 +1,9 @@
 """Functions paired with their documentation.
 
-Signatures are found by regular expressions, bodies are delimited by an indentation, brace or end-keyword stack, and a
-comment belongs to the definition next to it: directly above (decorators and attributes between do not part them) or, where
-the language has it so, as the first string inside.
+Signatures are found by regular expressions at the lines that the function table names, headers by a stack of brackets,
+bodies by an indentation, brace or end-keyword stack over the text with its strings and comments blanked, and a comment
+belongs to the definition next to it: directly above (decorators and attributes between do not part them) or, where the
+language has it so, as the first string inside. A file and its functions meet in one task, so no code is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcode.functions.arrow import map_lists
-from loomcode.session import spread
+from loomcode.session import parallelism
 
 # Shapes of signatures, words that say nothing.
 _SIGNATURES = (
@@ -33,9 +34,156 @@ NO_CONTENT = frozenset(
 
 _SIGNATURE = re.compile("|".join(f"(?:{p})" for _, p in _SIGNATURES), re.M)
 _BETWEEN = re.compile(r"\s*(?:@[\w.]+(?:\(.*\))?|#\[.*\]|template\s*<.*>)\s*$")
-_QUOTED = re.compile(r"\s*(?:[rRuUbB]{0,2})(\"\"\"|'''|\"|')")
-_MASK = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/')
-_OPENS = re.compile(r"^(?:def|class|module|if|unless|while|until|for|case|begin)\b|\bdo(?:\s*\|[^|]*\|)?\s*$")
+_LINE, _BLOCK, _D, _S = r"//[^\n]*", r"/\*[\s\S]*?\*/", r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
+_DM, _SM = r'"(?:[^"\\]|\\[\s\S])*"', r"'(?:[^'\\]|\\[\s\S])*'"
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\})*`"
+_PATTERN = r"(?<=[(,=:\[!&|?{};+])[ ]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_HEREDOC = r"<<<?[-~]?[ \t]*(?P<q>['\"]?)(?P<tag>[A-Z_]\w*)(?P=q)[^\n]*\n(?:.*\n)*?[ \t]*(?P=tag)\b"
+#: Comments and literals by extension, whose brackets and keywords mean nothing.
+_BLANKED = {
+    "py": rf"#[^\n]*|\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'{{3}}(?:[^\\]|\\[\s\S])*?'{{3}}|{_D}|{_S}", "rb": rf"^=begin\b[\s\S]*?^=end\b[^\n]*|#[^\n]*|{_HEREDOC}|{_DM}|{_SM}|%[wWiIqQ]?[(\[{{<][^)\]}}>]*[)\]}}>]",
+    "go": rf"{_LINE}|{_BLOCK}|{_D}|`[^`]*`|'(?:[^'\\\n]|\\[^\n']{{1,10}}|\\')'", "js": rf"{_LINE}|{_BLOCK}|{_D}|{_S}|{_TEMPLATE}|{_PATTERN}", "java": rf"{_LINE}|{_BLOCK}|\"\"\"[\s\S]*?\"\"\"|{_D}|{_S}", "c": rf"{_LINE}|{_BLOCK}|{_D}|{_S}",
+    "rs": rf"{_LINE}|{_BLOCK}|r(?P<h>#*)\"[\s\S]*?\"(?P=h)|{_DM}|'(?:[^'\\\n]|\\[^\n']{{1,10}}|\\')'", "php": rf"{_LINE}|{_BLOCK}|#(?!\[)[^\n]*|{_HEREDOC}|{_DM}|{_SM}",
+}
+_BLANKED = {k: re.compile(v, re.M) for k, v in _BLANKED.items()}
+_FAMILY = {"pyi": "py", "pyw": "py", "ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "cjs": "js", "mts": "js", "cts": "js", "h": "c", "cpp": "c", "cc": "c", "hpp": "c", "rake": "rb"}
+_SOLID = re.compile(r"[^\n]")
+_BRACKET = re.compile(r"[()\[\]{};]")
+_KEYWORD = re.compile(r"(?<![\w.:@$])(?:def|class|module|begin|case|do|if|unless|while|until|for|end)(?![\w?!:])|\n")
+_BEFORE_VALUE = re.compile(r"(?:[=;(\[{,|&!?]|(?<!\w)(?:then|do|else|return|and|or|not|begin))[ \t]*$")
+_ENDLESS = re.compile(r"def[ ]+[\w.]+[?!]?[ ]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?[ ]*=(?![=~])[ ]*\S")
+_HEAD_END = re.compile(r"[()\[\]{}:]")
+
+
+def _family(path: str) -> str:
+    end = path.rsplit(".", 1)[-1].lower() if "." in path else ""
+    return end if end in _BLANKED else _FAMILY.get(end, "c")
+
+
+def blanked(text: str, family: str) -> str:
+    """The text with comments and literals as spaces; all else keeps its place."""
+    return _BLANKED[family].sub(lambda m: _SOLID.sub(" ", m.group()), text)
+
+
+def _python_head(masked: str, at: int) -> int:
+    """Index after the colon that ends the header that starts at ``at``, or -1."""
+    depth = 0
+    for m in _HEAD_END.finditer(masked, at):
+        c = m.group()
+        if c == ":" and depth <= 0:
+            return m.end()
+        depth += (c in "([{") - (c in ")]}")
+    return -1
+
+
+def _python_end(masked: str, at: int, head: int) -> int:
+    """End of a body by indentation; brackets and literals go on over lines whatever their indentation."""
+    line_end = lambda k: e if (e := masked.find("\n", k)) >= 0 else len(masked)
+    indent = lambda k, e: len(masked[k:e].expandtabs(8)) - len(masked[k:e].expandtabs(8).lstrip())
+    own = indent(at, line_end(at))
+    end = stop = line_end(head)
+    if masked[head:stop].strip():
+        return end
+    depth = 0
+    while stop < len(masked):
+        start, stop = stop + 1, line_end(stop + 1)
+        line = masked[start:stop]
+        if line.strip():
+            if depth <= 0 and indent(start, stop) <= own:
+                break
+            depth += sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
+            end = stop
+    return end
+
+
+def _ruby_end(masked: str, at: int) -> int:
+    """End of a definition by the stack of end keywords; a condition after a statement opens nothing."""
+    line_end = masked.find("\n", at)
+    line = masked[at : line_end if line_end >= 0 else len(masked)]
+    if _ENDLESS.search(line):
+        return at + len(line)
+    depth, loop, line_start = 0, False, at
+    for m in _KEYWORD.finditer(masked, at):
+        word = m.group()
+        if word == "\n":
+            loop, line_start = False, m.end()
+            continue
+        before = masked[line_start : m.start()]
+        if word == "end":
+            depth -= 1
+            if depth <= 0:
+                return m.end()
+        elif word == "do":
+            depth += not loop
+            loop = False
+        elif word in ("def", "class", "module", "begin", "case") or not before.strip() or _BEFORE_VALUE.search(before):
+            depth += 1
+            loop = word in ("while", "until", "for")
+    return len(masked)
+
+
+def _brace_head(masked: str, at: int) -> tuple[int, bool]:
+    """(index, whether a block starts there) of the brace or semicolon after a header's parentheses."""
+    depth, seen = 0, False
+    for m in _BRACKET.finditer(masked, at):
+        c = m.group()
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+            seen = True
+        elif c == ";":
+            if depth <= 0:
+                return m.start(), False
+        elif c == "{" and depth <= 0 and seen:
+            return m.start(), True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth < 0:
+                return m.start(), False
+    return len(masked), False
+
+
+def _close(masked: str, at: int) -> int:
+    """Index after the brace that closes the one at ``at``."""
+    depth = 0
+    for m in _BRACKET.finditer(masked, at):
+        depth += (m.group() in "([{") - (m.group() in ")]}")
+        if depth <= 0 and m.group() in ")]}":
+            return m.end()
+    return len(masked)
+
+
+def _expression_end(masked: str, at: int) -> int:
+    """End of an expression without a block: a semicolon, or the end of a line with all brackets closed."""
+    depth = 0
+    for k in range(at, len(masked)):
+        c = masked[k]
+        depth += (c in "([{") - (c in ")]}")
+        if depth < 0 or depth == 0 and c == ";":
+            return k + (c == ";")
+        if depth == 0 and c == "\n" and masked[at:k].strip() and not masked[k:].lstrip()[:1] in (".", "?", ":", "+", "&", "|"):
+            return k
+    return len(masked)
+
+
+def _brace_end(masked: str, at: int, arrow: bool) -> tuple[int, int]:
+    """(end of the header, end of the definition)."""
+    if arrow and (sign := masked.find("=>", at)) >= 0:
+        start = sign + 2
+        while masked[start : start + 1].isspace():
+            start += 1
+        return start, _close(masked, start) if masked[start : start + 1] == "{" else _expression_end(masked, start)
+    head, block = _brace_head(masked, at)
+    if not block:
+        return head, min(head + 1, len(masked)) if masked[head : head + 1] == ";" else head
+    while True:
+        end = _close(masked, head)
+        typed = masked[:head].rstrip().endswith(":")
+        following = re.compile(r"\s*\{" if typed else r"[ \t\])*]*\{").match(masked, end)
+        if not following:
+            return head, end
+        head = following.end() - 1  # what was closed is part of the result's type
 
 
 def _above(lines: list[str], at: int, hash_marks: bool) -> str:
@@ -59,76 +207,65 @@ def _above(lines: list[str], at: int, hash_marks: bool) -> str:
     return "\n".join(lines[top : k + 1])
 
 
-def _inside(lines: list[str], at: int) -> str:
-    k = at
-    while k < len(lines) and not re.search(r":\s*(?:#.*)?$", lines[k]):
-        k += 1
-    k += 1
-    if k >= len(lines):
+def _inside(text: str, masked: str, head: int) -> str:
+    """The string that begins a block."""
+    if head < 0 or masked[head:].split("\n", 1)[0].strip():
         return ""
-    m = _QUOTED.match(lines[k])
+    m = re.compile(r"[^\n]*\n(?:[ \t]*\n)?[ \t]*[rRuUbB]{0,2}(\"\"\"|'''|\"|')").match(text, head)
     if not m:
         return ""
-    quote, first = m.group(1), lines[k][m.end() :]
-    if quote in first:
-        return first[: first.index(quote)]
-    if len(quote) == 1:
-        return ""
-    taken = [first]
-    for line in lines[k + 1 :]:
-        if quote in line:
-            taken.append(line[: line.index(quote)])
-            break
-        taken.append(line)
-    return "\n".join(taken)
-
-
-def _body_end(lines: list[str], at: int, indent: int, shape: str, python: bool) -> int:
-    """Index after the definition's last line: by indentation, by a stack of end keywords, or by a count of braces."""
-    if python:
-        end = at + 1
-        for k in range(at + 1, len(lines)):
-            text = lines[k].strip()
-            if text and len(lines[k]) - len(lines[k].lstrip()) <= indent and not text.startswith((")", "]")):
-                break
-            if text:
-                end = k + 1
-        return end
-    if shape == "def":
-        depth = 0
-        for k in range(at, len(lines)):
-            text = lines[k].split("#", 1)[0].strip()
-            depth += bool(_OPENS.search(text)) - bool(re.match(r"end\b", text))
-            if depth <= 0:
-                return k + 1
-        return len(lines)
-    depth, opened = 0, False
-    for k in range(at, len(lines)):
-        text = _MASK.sub("", lines[k])
-        depth += text.count("{") - text.count("}")
-        opened = opened or "{" in text
-        if opened and depth <= 0 or not opened and text.rstrip().endswith(";"):
-            return k + 1
-    return len(lines)
-
-
-def definitions(text: str | None, with_code: bool = True) -> list[tuple[str, int, str, str, str]]:
-    """(name, line, signature, comment, code) of each definition in a file; null and empty files have none."""
-    if not text:
-        return []
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    lines = text.split("\n")
-    out = []
-    line, position = 0, 0
-    for m in _SIGNATURE.finditer(text):
-        line += text.count("\n", position, m.start())
-        position = m.start()
-        shape = next(s for s, _ in _SIGNATURES if m.group(f"n_{s}"))
-        head = lines[line]
-        python = shape == "def" and head.rstrip().endswith((":", "(", ","))
-        comment = _inside(lines, line) if python else _above(lines, line, shape == "def")
-        code = "\n".join(lines[line : _body_end(lines, line, len(m.group(f"i_{shape}").expandtabs(4)), shape, python)]) if with_code else ""
-        out.append((m.group(f"n_{shape}"), line + 1, head.strip(), comment, code))
+    quote = m.group(1)
+    end = text.find(quote, m.end())
+    body = text[m.end() : end] if end >= 0 else text[m.end() :] if len(quote) == 3 else ""
+    return "" if len(quote) == 1 and "\n" in body else body
+
+
+def _shape(text: str, at: int, line: str, name: str) -> tuple[str, int]:
+    """(shape, index after the name) of the definition of a name on the line that starts at ``at``; ('', 0) if there is none."""
+    named = re.compile(rf"(?<![\w$]){re.escape(name)}(?![\w$])").search(line)
+    if not named:
+        return "", 0
+    m = _SIGNATURE.match(text, at)
+    if m and name in m.groups():
+        return next(x for x, _ in _SIGNATURES if m.group(f"n_{x}")), at + named.end()
+    # A header over several lines: the name is followed by its parameters, or by what it is set to.
+    rest = text[at + named.end() : at + named.end() + 400].lstrip()
+    if re.search(r"\bdef\b", line[: named.start()]):
+        return "def", at + named.end()
+    return "typed" if rest[:1] in ("(", "<") else "arrow" if re.match(r"(?::[^=]+)?=\s*(?:async\b\s*)?(?:\(|\w+\s*=>|function\b)", rest) else "", at + named.end()
+
+
+def definitions(path: str, text: str | None, wanted: list[tuple[str, int]]) -> list[tuple[str, str, str] | None]:
+    """(signature, comment, code) of each wanted (name, line), None for those that do not stand there; a null or empty file
+    has none. A byte order mark and carriage returns are no part of the lines. The shape of the definition, not the
+    extension alone, says how its body ends."""
+    text = (text or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    lines, family, masks = text.split("\n"), _family(path), {}
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    out: list[tuple[str, str, str] | None] = []
+    for name, number in wanted:
+        line = lines[number - 1] if 0 < number <= len(lines) else ""
+        at = starts[number - 1] if line else 0
+        shape, after = _shape(text, at, line, name) if line else ("", 0)
+        if not shape:
+            out.append(None)
+            continue
+        kind = ("py" if line.rstrip().endswith((":", "(", ",")) or family == "py" else "rb") if shape == "def" else "c" if family in ("py", "rb") else family
+        if kind not in masks:
+            masks[kind] = blanked(text, kind)
+        masked, stop = masks[kind], at + len(line)
+        if kind == "py":
+            head = _python_head(masked, after)
+            end = _python_end(masked, at, head) if head >= 0 else stop
+            comment, head = _inside(text, masked, head), head - 1 if head >= 0 else stop
+        elif kind == "rb":
+            head, end, comment = stop, _ruby_end(masked, at + len(line) - len(line.lstrip())), _above(lines, number - 1, True)
+        else:
+            head, end = _brace_end(masked, after, shape == "arrow" and "function" not in masked[after : after + 40])
+            comment = _above(lines, number - 1, False)
+        out.append((re.sub(r"\s+", " ", text[at:head]).strip(), comment, text[at:end].rstrip()))
     return out
 
 
@@ -189,7 +326,7 @@ def trivial(comment: str | None, name: str | None, params: str | None = None, ow
     return not new and not described
 
 
-def documented_functions(functions: DataFrame, files: DataFrame, with_code: bool = True) -> DataFrame:
+def documented_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
     """``path, owner, name, params, line_number, signature, documentation, code`` of the functions whose documentation is
     not trivial.
 
@@ -197,32 +334,31 @@ def documented_functions(functions: DataFrame, files: DataFrame, with_code: bool
     file. Repeated rows count once, of differing ones the longest docstring stands. Null owners count as ''; rows without
     a path or a name are left out. Signature and code are null where the definition does not stand in the file.
     """
-
-    def extract(paths: list, texts: list) -> list:
-        return [(p, *d) for p, t in zip(paths, texts, strict=True) for d in definitions(t, with_code)]
-
     keyed = (
         functions.where("path is not null and name is not null")
         .groupBy("path", F.coalesce("owner", F.lit("")).alias("owner"), "name")
         .agg(F.max(F.struct(F.length(F.trim(F.coalesce("docstring", F.lit("")))).alias("n"), "docstring", "params", "line_number")).alias("f"))
-        .select("path", "owner", "name", "f.docstring", "f.params", F.col("f.line_number").cast("int").alias("line_number"))
+        .select("path", F.struct("owner", "name", "f.params", F.col("f.line_number").cast("int").alias("line_number"), "f.docstring").alias("f"))
     )
-    source = spread(files.where("path is not null and content is not null").select("path", "content"))
-    # Repeated files repeat their definitions; one row of each key and line is kept.
-    found = map_lists(source, extract, "path string, name string, line_number int, signature string, comment string, code string")
-    found = found.groupBy("path", "name", "line_number").agg(F.max("signature").alias("signature"), F.max("comment").alias("comment"), F.max("code").alias("code"))
-    joined = keyed.join(found, ["path", "name", "line_number"], "left").withColumn("own", F.regexp_replace(F.coalesce("docstring", F.lit("")), r"^\s+$", "") != "")
+    # The functions of one file, as many as it has.
+    listed = keyed.groupBy("path").agg(F.collect_list("f").alias("listed"))
+    spark = files.sparkSession
+    parts = max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    source = files.where("path is not null and content is not null").select("path", "content").repartition(parts, "path").dropDuplicates(["path"])
 
-    def judge(*columns: list) -> list:
+    def judge(paths: list, texts: list, lists: list) -> list:
         out = []
-        for path, owner, name, params, line, docstring, own, signature, comment, code in zip(*columns, strict=True):
-            text = docstring if own else comment
-            if not trivial(text, name, params, owner):
-                out.append((path, owner, name, params, line, signature, "\n".join(plain(text)), code))
+        for path, text, own in zip(paths, texts, lists, strict=True):
+            found = definitions(path, text, [(f["name"], f["line_number"] or 0) for f in own])
+            for f, d in zip(own, found, strict=True):
+                signature, comment, code = d or (None, None, None)
+                document = f["docstring"] if (f["docstring"] or "").strip() else comment
+                if not trivial(document, f["name"], f["params"], f["owner"]):
+                    out.append((path, f["owner"], f["name"], f["params"], f["line_number"], signature, "\n".join(plain(document)), code))
         return out
 
-    columns = ["path", "owner", "name", "params", "line_number", "docstring", "own", "signature", "comment", "code"]
-    return map_lists(joined.select(*columns), judge, "path string, owner string, name string, params string, line_number int, signature string, documentation string, code string")
+    joined = listed.join(source, "path", "left").select("path", "content", "listed")
+    return map_lists(joined, judge, "path string, owner string, name string, params string, line_number int, signature string, documentation string, code string")
 
 
 def pairs(functions: DataFrame, files: DataFrame, units: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from loomcode.session import checkpoint_dir, load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return function_docs.documented_functions(load(spark, d, "code_functions"), load(spark, d, "files"), with_code=False).select("path", "owner", "name").distinct()
+    return function_docs.documented_functions(load(spark, d, "code_functions"), load(spark, d, "files")).where("code is not null").select("path", "owner", "name").distinct()
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -274,6 +274,22 @@ def test_pairs(spark, rows):
     assert function_docs.documented_functions(functions.where("false"), files).count() == 0
 
 
+BODIES = [
+    ("a.py", "f", 1, 'def f(\n    a,\n):\n    s = """\nat column 0 }\n"""\n    return (\n1\n    )\n', "\nx = 1\n"), ("a.py", "f", 1, "def f(a: dict[str, int] = {1: 2}): return a\n", "def g(): pass\n"),
+    ("a.rb", "f", 1, "def f(a)\n  x = if a then 1 else 2 end\n  y = if a\n    1\n  end\n  return 1 if x\n  while x do\n    z\n  end\n  [1].each do |i|\n    puts i unless x\n  end\nend\n", "\ndef g\nend\n"), ("a.rb", "a", 1, "def a; 1; end\n", "def b\nend\n"), ("a.rb", "f", 1, "def f(x) = x + 1\n", "def b\nend\n"),
+    ("a.js", "f", 1, "function f(a = {}, { b }) {\n  return `}${a}` + '}' + /[}]/.test(b); // }\n}\n", "g();\n"), ("a.ts", "f", 1, "function f(\n  opts: { a: number },\n): { b: number }\n{\n  return { b: 1 };\n}\n", "g();\n"), ("a.ts", "f", 1, "const f = (a: number) => a + 1;\n", "const g = 1;\n"), ("a.ts", "f", 1, "export const f = async (\n  a: number,\n) => {\n  return a;\n};\n", "g();\n"),
+    ("a.go", "F", 1, "func (r *T) F(x interface{}) (interface{}, error) {\n\treturn `}`, nil\n}\n", "func G() {}\n"), ("a.go", "F", 1, "func F() map[string]interface{} {\n\treturn nil\n}\n", "func G() {}\n"), ("A.java", "f", 1, "public static int f(\n    int a,\n    int b) throws E\n{\n  char c = '}';\n  return 1;\n}\n", "int g() {}\n"), ("A.java", "f", 1, "abstract int f(int a);\n", "int g() {}\n"),
+    ("a.c", "f", 1, "static int f(int a[3],\n             int b)\n{\n    return '}';\n}\n", "int g;\n"), ("a.rs", "f", 1, "pub fn f<'a>(x: &'a [u8; 3]) -> char {\n    '}'\n}\n", "fn g() {}\n"), ("a.php", "f", 1, "function f(array $a = []): ?string {\n  return \"}\";\n}\n", "g();\n"),
+]
+
+
+@pytest.mark.parametrize(("path", "name", "line", "body", "after"), BODIES)
+def test_bodies(path, name, line, body, after):
+    found = function_docs.definitions(path, body + after, [(name, line), ("absent", line), (name, 99)])
+    assert found[0] is not None and found[0][2].rstrip("; \n") == body.rstrip("; \n")
+    assert found[1:] == [None, None]
+
+
 TARGETS = "mix string, source string, target_share double, max_repeats int"
 
 
