@@ -74,7 +74,32 @@ def source_declarations(spark, d):
 
 
 def source_imports(spark, d):
-    return extraction.imports(extraction.source_lines(load(spark, d, "files")))
+    return extraction.imports(extraction.source_lines(load(spark, d, "files"), block_strings=False))
+
+
+def source_functions(spark, d):
+    """The functions of the function table, with all that is said of them read from the files (broken files hold more)."""
+    found = extraction.functions(extraction.source_lines(load(spark, d, "files"), block_strings=False))
+    return found.join(load(spark, d, "code_functions").select("path", "name", F.col("line_number").alias("line_no")), ["path", "name", "line_no"], "left_semi")
+
+
+def source_functions_per_file(spark, d):
+    found = extraction.functions(extraction.source_lines(load(spark, d, "files"), block_strings=False))
+    return found.groupBy("path").agg(F.count("*").alias("n_functions"), F.count_if(F.col("owner") != "").alias("n_methods"), F.count_if("is_async").alias("n_async"))
+
+
+def source_import_roots(spark, d):
+    """First part of the name of each module that a file imports, of the files whose module row has no null import."""
+    m = load(spark, d, "compact_modules").where("file is not null")
+    told = m.groupBy(F.col("file").alias("path")).agg(F.max(F.coalesce(F.exists("imports", lambda x: x.isNull()), F.lit(True))).alias("gaps")).where("not gaps")
+    module = F.regexp_replace(F.regexp_replace("module", r"^(?:[./]+|(?:super|crate|self)::)+", ""), r"\.h$", "")
+    root = F.regexp_replace(F.regexp_extract(module, r"^([^./:\\]+)", 1), r"(?<=[a-z])(?=[A-Z0-9])", "_")
+    found = extraction.imports(extraction.source_lines(load(spark, d, "files"), block_strings=False)).select("path", F.translate(F.lower(root), "_", "").alias("root"))
+    return found.where("root <> ''").distinct().join(told, "path", "left_semi")
+
+
+def source_import_names(spark, d):
+    return extraction.imported_names(extraction.source_lines(load(spark, d, "files"), block_strings=False)).groupBy("path").agg(F.count("*").alias("n_names"), F.count_if(F.col("name") != F.col("alias")).alias("n_aliases"))
 
 
 def source_calls(spark, d):
@@ -87,7 +112,7 @@ def same_file_calls(spark, d):
     return extraction.same_file_edges(extraction.call_sites(extraction.source_lines(files)), table, functions)
 
 
-QUERIES = {f.__name__: f for f in (dirty_diff, dirty_counts, state_merge, state_clear, notify_batches, stream_first_notices, stream_daily, cache_probe, cache_misses, content_groups, asof_last_signup, source_declarations, source_imports, source_calls, same_file_calls)}
+QUERIES = {f.__name__: f for f in (dirty_diff, dirty_counts, state_merge, state_clear, notify_batches, stream_first_notices, stream_daily, cache_probe, cache_misses, content_groups, asof_last_signup, source_declarations, source_imports, source_functions, source_functions_per_file, source_import_roots, source_import_names, source_calls, same_file_calls)}
 
 _S = "s AS (SELECT path, coalesce(hash, '') AS hash, coalesce(is_dirty, false) AS is_dirty, coalesce(last_seen, -1) AS last_seen FROM file_state WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY coalesce(last_seen, -1) DESC, coalesce(is_dirty, false) DESC, coalesce(hash, '') DESC) = 1)"
 _DIFF = f"""WITH {_S}, n AS (SELECT path, max(sha256(coalesce(content, ''))) AS current FROM files WHERE path IS NOT NULL GROUP BY 1),
@@ -112,6 +137,12 @@ def _cases(patterns: dict[str, str]) -> str:
     return "CASE language " + " ".join(out) + " END"
 
 
+def _any(patterns: dict[str, str]) -> str:
+    """The first form that matches, whatever the language."""
+    found = [x.split(" THEN ", 1)[1] for x in _cases({str(k): v for k, v in enumerate(dict.fromkeys(patterns.values()))}).removeprefix("CASE language ").removesuffix(" END").split(" WHEN ")]
+    return f"coalesce({', '.join(f'nullif({x}, {chr(39) * 2})' for x in found)})"
+
+
 _BASES = extraction.BASES.replace("'", "''")
 SQL = {
     "dirty_diff": _DIFF + "SELECT path, status, status <> 'unchanged' AS is_dirty FROM d",
@@ -133,7 +164,12 @@ SQL = {
     "source_declarations": _SRC + f""", c AS (SELECT *, {_cases(extraction.CLASSES)} AS cls, {_cases(extraction.INTERFACES)} AS itf FROM src)
         SELECT path, line_no, CASE WHEN coalesce(cls, '') <> '' THEN 'class' ELSE 'interface' END AS kind, CASE WHEN coalesce(cls, '') <> '' THEN cls ELSE itf END AS name,
         regexp_replace(concat(regexp_extract(line, '{_BASES}', 1), regexp_extract(line, '{_BASES}', 2), regexp_extract(line, '{_BASES}', 3)), '\\s+', '', 'g') AS bases FROM c WHERE coalesce(cls, '') <> '' OR coalesce(itf, '') <> ''""",
-    "source_imports": _SRC + f", c AS (SELECT *, {_cases(extraction.IMPORTS)} AS module FROM src) SELECT path, line_no, module, regexp_matches(line, '{extraction.FROM_IMPORTS}') AS is_from FROM c WHERE module <> ''",
+    "source_imports": _SRC + f", c AS (SELECT *, {_any(extraction.IMPORTS)} AS module FROM src) SELECT path, line_no, module, regexp_matches(line, '{extraction.FROM_IMPORTS}') AS is_from FROM c WHERE module <> ''",
+    # No pattern of the extraction stands in these two: the tables hold what another extractor found.
+    "source_functions": "SELECT DISTINCT path, line_number AS line_no, coalesce(owner, '') AS owner, name, params, is_async FROM code_functions WHERE path IN (SELECT path FROM files WHERE content IS NOT NULL) AND name IS NOT NULL",
+    "source_import_roots": """WITH m AS (SELECT * FROM compact_modules WHERE file IN (SELECT path FROM files WHERE content IS NOT NULL)),
+        g AS (SELECT file FROM m GROUP BY file HAVING bool_and(imports IS NOT NULL AND len(list_filter(imports, lambda x: x IS NULL)) = 0))
+        SELECT DISTINCT file AS path, replace(regexp_extract(split_part(trim(i, ' '), ' ', 2), '^[.]*([^.]+)', 1), '_', '') AS root FROM m, unnest(imports) AS t(i) WHERE file IN (SELECT file FROM g) AND trim(i, ' ') <> ''""",
     "source_calls": _SRC + f""", b AS (SELECT path, line_no, unnest(list_distinct(regexp_extract_all(regexp_replace(line, '"[^"]*"|''[^'']*''|`[^`]*`', ' ', 'g'), '{extraction.CALL}', 1))) AS call FROM src WHERE regexp_matches(line, '^\\s')),
         c AS (SELECT path, line_no, regexp_extract(call, '([^.]*)$', 1) AS name, regexp_replace(call, '\\.?[^.]*$', '') AS base FROM b)
         SELECT path, name, CASE WHEN base IN ('self', 'this', 'cls') THEN 'method' WHEN base <> '' THEN 'attribute' ELSE 'local' END AS call_type, count(*) AS n_sites, min(line_no) AS first_line

@@ -149,3 +149,31 @@ def test_long_chains_and_deep_levels(spark, rows):
     assert flow.deepest(table) == 15
     parents = {r.dst: r.src for r in flow.dependence_edges(table, flow.nearest_definitions(flow.references(table))).where("dep = 'control'").collect()}
     assert all(parents[k] == k - 1 for k in range(5, 19))
+
+
+def test_imports_over_several_lines(spark, rows):
+    texts = {
+        "r/a.go": 'package p\n\nimport (\n\t"fmt"\n\tio "my/os"\n)\n\nimport x "one/two"\n\nfunc f() {\n\tg("not/one")\n}\n',
+        "r/b.ts": 'import {\n  A,\n  B as C,\n} from "./q";\nimport * as ns from "mod/two";\nimport D, { E } from "d";\nconst s = "import";\n',
+        "r/c.py": 'def f():\n    """\n    import nothing\n    """\n    import os.path as p, sys\nfrom ..pkg import (\n    one,\n    two as three,\n)\n',
+        "r/d.rs": "use a::b::{\n    C,\n    D as E,\n};\nuse f::G;\n", "r/e.java": "import static x.Y.*;\nclass A { class B extends C { } }\n  class Inner implements D { }\n",
+    }
+    source = extraction.source_lines(spark.createDataFrame(list(texts.items()), "path string, content string"), block_strings=False)
+    assert rows(extraction.imports(source).select("path", "line_no", "module")) == [("r/a.go", 4, "fmt"), ("r/a.go", 5, "my/os"), ("r/a.go", 8, "one/two"), ("r/b.ts", 4, "./q"), ("r/b.ts", 5, "mod/two"), ("r/b.ts", 6, "d"), ("r/c.py", 5, "os.path"), ("r/c.py", 6, "..pkg"), ("r/d.rs", 1, "a::b::"), ("r/d.rs", 5, "f::G"), ("r/e.java", 1, "x.Y.*")]
+    assert rows(extraction.imported_names(source).select("path", "name", "alias")) == [("r/a.go", "x", "x"), ("r/b.ts", "*", "ns"), ("r/b.ts", "A", "A"), ("r/b.ts", "B", "C"), ("r/b.ts", "E", "E"), ("r/c.py", "one", "one"), ("r/c.py", "os.path", "p"), ("r/c.py", "sys", "sys"), ("r/c.py", "two", "three"), ("r/d.rs", "C", "C"), ("r/d.rs", "D", "E"), ("r/d.rs", "G", "G"), ("r/e.java", "*", "*")]
+    assert ("r/e.java", 3, "class", "Inner") in rows(extraction.declarations(source).select("path", "line_no", "kind", "name"))
+    assert extraction.imports(source.where("false")).count() == 0
+
+
+def test_functions(spark, rows):
+    texts = {
+        "r/a.py": "class A:\n    async def f(self, x=(1, 2)):\n        def inner(a):\n            pass\n\n    def g(\n        self,\n        y: int,\n    ) -> int:\n        return h(1)\n\n\ndef top():\n    return 1\n",
+        "r/b.go": "package p\n\nfunc (r *T) F(a int) (int, error) {\n\treturn g(a), nil\n}\n\nfunc G() {\n}\n", "r/c.ts": "export class B {\n  m(a: number): void {\n    if (a) {\n    }\n  }\n}\nexport const k = async (x: number) => x;\n",
+        "r/d.rs": "impl<T> Tr for S<T> {\n    pub fn n(&self) -> u8 {\n        1\n    }\n}\n", "r/e.rb": "class C\n  def none\n    puts(1)\n  end\nend\n",
+    }
+    source = extraction.source_lines(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    found = [(r.path[2], r.line_no, r.owner, r.name, r.params, r.is_async) for r in extraction.functions(source).orderBy("path", "line_no").collect()]
+    assert found == [
+        ("a", 2, "A", "f", "(self, x=(1, 2))", True), ("a", 3, "A", "inner", "(a)", False), ("a", 6, "A", "g", "( self, y: int, )", False), ("a", 13, "", "top", "()", False), ("b", 3, "T", "F", "(a int)", False), ("b", 7, "", "G", "()", False),
+        ("c", 2, "B", "m", "(a: number)", False), ("c", 7, "", "k", "(x: number)", True), ("d", 2, "S", "n", "(&self)", False), ("e", 2, "C", "none", "()", False),
+    ]
