@@ -1,6 +1,7 @@
 """Evaluation passages inside training text.
 
-The items' words form a BM25 inverted index with block maxima, which has a checked size bound and goes to every task.
+The items' words form a BM25 inverted index with block maxima. It goes to every task in parts of a checked size, each with
+the items of one hash block; every part meets all documents.
 Each document is cut into passages at the words that no item has, long ones again so that they overlap by one word less
 than the length of a match: every match lies whole in one passage. Each passage queries the index by block-max WAND. The threshold of an item is the smallest score that
 any of its own windows of that length gives, so no passage that holds one can fall below it. What is retrieved is then
@@ -10,7 +11,9 @@ checked word by word.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
+from functools import reduce
 from math import log
 
 from pyspark.sql import DataFrame
@@ -23,8 +26,8 @@ RUN = 13
 PASSAGE = 64
 BLOCK = 16
 K1, B = 1.2, 0.75
-#: The index goes to every task; a larger set of items is refused here and goes through ``leaked_by_join``.
-MAX_ITEM_BYTES = 64 << 20
+#: Bytes of item text in one part of the index, and how far a part may exceed them by the luck of the hashes.
+PART_BYTES, PART_EXCESS = 8 << 20, 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -52,18 +55,17 @@ class ItemIndex:
         for x, tf in counts.items():
             idf = log(1 + (n - len(tf) + 0.5) / (len(tf) + 0.5))
             weight[x] = {s: idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(kept[s][1]) / average)) for s, f in tf.items()}
-        self.postings: dict[str, tuple[list[int], list[float], list[int], list[float], float]] = {}
+        self.postings: dict[str, tuple[array, array, array, array, float]] = {}
         for x, ws in weight.items():
             slots = sorted(ws)
             values = [ws[s] for s in slots]
             last = [slots[min(k + BLOCK, len(slots)) - 1] for k in range(0, len(slots), BLOCK)]
             maxima = [max(values[k : k + BLOCK]) for k in range(0, len(slots), BLOCK)]
-            self.postings[x] = (slots, values, last, maxima, max(maxima))
+            self.postings[x] = (array("i", slots), array("d", values), array("i", last), array("d", maxima), max(maxima))
         self.top = {x: p[4] for x, p in self.postings.items()}
         # The sum over a window's distinct words, which is what a passage that holds the window scores at least.
         self.threshold = [min(sum(weight[x][s] for x in set(w[k : k + run])) for k in range(len(w) - run + 1)) - 1e-9 for s, (_, w) in enumerate(kept)]
         self.least = min(self.threshold, default=float("inf"))
-        self.windows = [{" ".join(w[k : k + run]) for k in range(len(w) - run + 1)} for _, w in kept]
 
     def retrieve(self, terms: list[str]) -> list[int]:
         """Slots of the items whose score for the distinct terms reaches the item's threshold, by block-max WAND."""
@@ -133,8 +135,8 @@ class ItemIndex:
                 continue
             slots = [s for s in self.retrieve(terms) if self.ids[s] not in out]
             if slots:
-                grams = {" ".join(passage[k : k + run]) for k in range(len(passage) - run + 1)}
-                out.update(self.ids[s] for s in slots if not grams.isdisjoint(self.windows[s]))
+                grams = [f" {' '.join(passage[k : k + run])} " for k in range(len(passage) - run + 1)]
+                out.update(self.ids[s] for s in slots if any(g in self.texts[s] for g in grams))
         return out
 
 
@@ -142,23 +144,32 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """Distinct ``item_id, doc_id``: at least ``run`` successive words of the item stand in the document without a gap.
 
     Words are runs of letters and digits without regard to case. Null, empty and shorter texts hold no run; rows without
-    an id are left out. The items' size is checked: beyond the bound the exact join over word runs answers instead.
+    an id are left out. A set of items of any size is searched in parts: one pass over the documents for each
+    ``PART_BYTES`` of item text.
     """
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        return leaked_by_join(documents, items, run)
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.distinct().collect()])
-    cache: list[ItemIndex] = []
+    parts = max(1, -(-size // PART_BYTES))
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    largest = blocks.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > PART_EXCESS * PART_BYTES:
+        raise ValueError(f"one part of the items has {largest} bytes: a single item is too long for the index")
+    rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
+    found = [_search(rows, blocks.where(F.col("block") == k).drop("block"), run) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _search(rows: DataFrame, items: DataFrame, run: int) -> DataFrame:
+    """``item_id, doc_id`` of one part of the items, whose size is checked."""
+    held = rows.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+    index: list[ItemIndex] = []
 
     def search(ids: list, texts: list) -> list:
-        if not cache:
-            cache.append(ItemIndex(held.value, run))
-        return [(item, doc) for doc, text in zip(ids, texts, strict=True) for item in cache[0].leaks(text)]
+        if not index:
+            index.append(ItemIndex(held.value, run))
+        return [(item, doc) for doc, text in zip(ids, texts, strict=True) for item in index[0].leaks(text)]
 
-    rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    return map_lists(rows, search, "item_id bigint, doc_id bigint").distinct()
+    return map_lists(rows, search, "item_id bigint, doc_id bigint")
 
 
 def word_runs(df: DataFrame, key: str, run: int = RUN) -> DataFrame:
@@ -170,7 +181,7 @@ def word_runs(df: DataFrame, key: str, run: int = RUN) -> DataFrame:
 
 
 def leaked_by_join(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """The same result by an equi-join of word runs, for item sets of any size."""
+    """The same result by an equi-join of all word runs: what the index is compared with."""
     return word_runs(items, "item_id", run).join(word_runs(documents, "doc_id", run), "gram").select("item_id", "doc_id").distinct()
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomcode.functions.arrow import map_lists
-from loomcode.session import cut, spread
+from loomcode.session import cut, parallelism, spread
 
 #: Records in a bucket of the first level, and buckets that meet in one of the next.
 BUCKET, FAN_IN = 4096, 256
@@ -155,7 +155,9 @@ def draw(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: st
     while True:
         last = buckets == 1
 
-        rounded = cut(level.groupBy("mix", "source", "bucket").applyInPandas(_meeting(seed, depth, last), _DRAWN))
+        # A given number of partitions, so that small buckets are not merged into one task.
+        parts = min(max(2 * parallelism(level.sparkSession), int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))), buckets * planned.count())
+        rounded = cut(level.repartition(max(1, parts), "mix", "source", "bucket").groupBy("mix", "source", "bucket").applyInPandas(_meeting(seed, depth, last), _DRAWN))
         done.append(rounded.where("p = 0 or p = 1"))
         if last:
             break

@@ -146,7 +146,7 @@ def _brute_leaks(docs, items, run=13):
     return sorted({(i, d) for i, t in items for d, x in docs if i is not None and d is not None and grams(t) & grams(x)})
 
 
-def test_leaks(spark, rows):
+def test_leaks(spark, rows, monkeypatch):
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(1, ITEM), (2, "too short"), (3, None), (None, ITEM), (5, " ".join(r.choice(vocabulary) for _ in range(60))), (6, " ".join(r.choice(vocabulary) for _ in range(40))), (1, ITEM)]
@@ -160,6 +160,13 @@ def test_leaks(spark, rows):
     assert rows(leakage.leaked(d, e)) == expected
     assert rows(leakage.leaked_by_join(d.select("doc_id", "text").where("doc_id is not null"), e.where("item_id is not null"))) == expected
     assert leakage.leaked(d.where("false"), e).count() == 0
+    # In parts of a few items each, with the same result.
+    monkeypatch.setattr(leakage, "PART_BYTES", 200)
+    assert rows(leakage.leaked(d, e)) == expected
+    monkeypatch.setattr(leakage, "PART_EXCESS", 0.1)
+    with pytest.raises(ValueError, match="too long"):
+        leakage.leaked(d, e)
+    monkeypatch.undo()
     assert leakage.leaked(d, e.where("false")).count() == 0
     assert leakage.leak_report(d, e).count() == 1
 
