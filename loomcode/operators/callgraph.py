@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,39 @@ from loomcode.functions import paths
 from loomcode.session import cut
 
 
+#: After so many steps what was reached is written as one, so that the plan stays short however many follow.
+FOLD = 50
+# Functions that a language brings along.
+BUILTINS = {
+    "python": "abs all any bool bytes callable chr dict dir divmod enumerate eval exec filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len list locals map max min next object oct open ord pow print property range repr reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip",
+    "go": "append cap clear close complex copy delete imag len make max min new panic print println real recover", "javascript": "parseInt parseFloat isNaN isFinite encodeURIComponent decodeURIComponent setTimeout setInterval clearTimeout clearInterval fetch structuredClone Number String Boolean Array Object Promise Symbol Error",
+    "ruby": "puts print p gets raise require require_relative attr_reader attr_writer attr_accessor lambda proc loop rand sleep format sprintf", "php": "count strlen str_replace implode explode in_array array_map array_filter array_keys array_values array_merge sprintf printf print_r var_dump json_encode json_decode error_log is_null is_array",
+    "c": "printf fprintf sprintf snprintf malloc calloc realloc free memcpy memset memcmp strlen strcpy strcmp strcat exit abort", "rust": "drop println print format vec panic assert Some Ok Err Box",
+}
+BUILTINS["typescript"] = BUILTINS["javascript"]
+# End of the fixed values.
+
+
+def call_kinds(sites: DataFrame, functions: DataFrame, names: DataFrame) -> DataFrame:
+    """``path, line_no, base, name, kind, source`` of each call site ``path, line_no, base, name``.
+
+    A call on self or this is ``method``; a bare name is ``local`` if the file defines it, ``imported`` if an import brings it
+    in under that name, ``builtin`` if the language has it, else ``external``. A call on another base is ``module`` if the
+    base's first part is imported, ``instance`` if it is a name of the file's own with a capital, else ``attribute``.
+    ``source`` is the imported name behind an alias. Each name has one meaning in a file: of several imports the smallest.
+    """
+    own = functions.select("path", "name").distinct().withColumn("defined", F.lit(True))
+    brought = names.groupBy("path", F.col("alias").alias("word")).agg(F.min("name").alias("source"))
+    language = paths.detect_language(F.col("path"))
+    known = reduce(lambda a, kv: a | ((language == kv[0]) & F.col("name").isin(kv[1].split())), BUILTINS.items(), F.lit(False))
+    bare, of_self = F.col("base") == "", F.col("base").isin("self", "this", "cls", "$this")
+    word = F.when(bare, F.col("name")).otherwise(F.regexp_extract("base", r"^(\w+)", 1))
+    joined = sites.withColumn("word", word).join(own, ["path", "name"], "left").join(brought, ["path", "word"], "left")
+    plain = F.when(F.col("defined"), "local").when(F.col("source").isNotNull(), "imported").when(known, "builtin").otherwise("external")
+    based = F.when(of_self, "method").when(F.col("source").isNotNull(), "module").when(F.col("base").rlike(r"^[A-Z]"), "instance").otherwise("attribute")
+    return joined.select("path", "line_no", "base", "name", F.when(bare, plain).otherwise(based).alias("kind"), F.when(~of_self, F.col("source")).alias("source"))
+
+
 def symbols(units: DataFrame) -> DataFrame:
     """``key, unit_id, file, kind``: up to three keys for each function or method: its name inside its file, inside its
     module's last part, and inside its repository. Of several units under one key the smallest id stands."""
@@ -88,21 +124,22 @@ def direct_impact(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.countDistinct("src").alias("n_callers"), F.countDistinct(F.split_part("src", F.lit(":"), F.lit(1))).alias("n_files"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """``start, node, depth``: the nodes that can be reached from each start along src -> dst within so many steps, with
-    the fewest steps; the start itself has 0.
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """``start, node, depth``: the nodes that can be reached from each start along src -> dst within so many steps, or in
+    any number of steps without a bound, with the fewest steps; the start itself has 0.
 
     One join a step; only new pairs go on, and the lineage is cut after each step. Cycles end by themselves.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     frontier = cut(seeds.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     found = frontier
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         following = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         frontier = cut(following.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(step)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        found = found if step % FOLD else cut(found)
     return found
 
 

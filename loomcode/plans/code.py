@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loomcode.functions import paths
@@ -100,6 +102,20 @@ def impact_transitive(spark, d):
     return found.groupBy("start").agg(F.count("*").alias("n_affected"), F.max("depth").alias("farthest"))
 
 
+#: Names whose impact is asked for, whole or as the end of a longer one.
+ASKED = ("run", "_chunk")
+
+
+def impact_of_names(spark, d):
+    """All that calls the units of a name, or of names that end so, through any number of calls."""
+    u = _units(spark, d)
+    edges = cut(callgraph.call_edges(_resolved(spark, d)))
+    name = F.lower("name")
+    seeds = u.where(reduce(lambda a, b: a | b, [name.endswith(x) if x.startswith("_") else name == x for x in ASKED])).select(F.col("unit_id").alias("start"))
+    found = callgraph.reach(callgraph.reversed_edges(edges), seeds).where("depth > 0")
+    return found.groupBy("start").agg(F.count("*").alias("n_affected"), F.max("depth").alias("farthest"))
+
+
 def call_depth(spark, d):
     """Forward reach of the units that nobody calls."""
     edges = cut(callgraph.call_edges(_resolved(spark, d)))
@@ -120,7 +136,7 @@ def callers_attached(spark, d):
     return out.join(back, "unit_id", "full").select("unit_id", F.coalesce("callees", F.lit("")).alias("callees"), F.coalesce("callers", F.lit("")).alias("callers"))
 
 
-QUERIES = {f.__name__: f for f in (units_latest, unit_embedding_text, unit_significant_deps, unit_summaries, units_by_type, function_signatures, functions_per_file, module_names, compact_projection, compact_calls_map, canonical_imports, token_estimate, symbol_index, call_resolution, callgraph_stats, unresolved_calls, impact_direct, impact_transitive, call_depth, related_modules, callers_attached)}
+QUERIES = {f.__name__: f for f in (units_latest, unit_embedding_text, unit_significant_deps, unit_summaries, units_by_type, function_signatures, functions_per_file, module_names, compact_projection, compact_calls_map, canonical_imports, token_estimate, symbol_index, call_resolution, callgraph_stats, unresolved_calls, impact_direct, impact_transitive, impact_of_names, call_depth, related_modules, callers_attached)}
 
 _NAME = "regexp_extract(path, '([^/]*)$', 1)"
 _LANG = f"CASE lower(regexp_extract({_NAME}, '\\.([^.]*)$', 1)) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'java' THEN 'java' WHEN 'rs' THEN 'rust' WHEN 'c' THEN 'c' WHEN 'rb' THEN 'ruby' WHEN 'php' THEN 'php' ELSE '' END"
@@ -178,6 +194,8 @@ SQL = {
     "impact_direct": _RESOLVED + "SELECT dst, count(DISTINCT src) AS n_callers, count(DISTINCT split_part(src, ':', 1)) AS n_files FROM e GROUP BY 1",
     "impact_transitive": _RECURSIVE + """, w(start, node, depth) AS (SELECT DISTINCT dst, dst, 0 FROM e UNION SELECT w.start, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node WHERE w.depth < 3),
         b AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT start, count(*) AS n_affected, max(depth) AS farthest FROM b WHERE depth > 0 GROUP BY 1""",
+    "impact_of_names": _RECURSIVE + """, w(start, node, depth) AS (SELECT unit_id, unit_id, 0 FROM u WHERE lower(name) = 'run' OR lower(name) LIKE '%\\_chunk' ESCAPE '\\' UNION SELECT w.start, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node WHERE w.depth < 60),
+        b AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT start, count(*) AS n_affected, max(depth) AS farthest FROM b WHERE depth > 0 GROUP BY 1""",
     "call_depth": _RECURSIVE + """, w(start, node, depth) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4),
         b AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT start, count(*) - 1 AS n_reached, max(depth) AS depth FROM b GROUP BY 1""",
     "related_modules": _RESOLVED + f""", fe AS (SELECT DISTINCT split_part(src, ':', 1) AS src, split_part(dst, ':', 1) AS dst, 'call' AS via FROM e WHERE split_part(src, ':', 1) <> split_part(dst, ':', 1)

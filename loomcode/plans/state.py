@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomcode.functions import paths
-from loomcode.operators import cache, extraction, flow, incremental, units
+from loomcode.operators import cache, callgraph, extraction, flow, incremental, units
 from loomcode.session import cut, load
 from loomcode.plans.flow_queries import LINES_SQL
 from loomcode.streaming import notify
@@ -106,13 +106,20 @@ def source_calls(spark, d):
     return extraction.call_sites(extraction.source_lines(load(spark, d, "files"))).groupBy("path", "name", "call_type").agg(F.count("*").alias("n_sites"), F.min("line_no").alias("first_line"))
 
 
+def source_call_kinds(spark, d):
+    """Calls in the source by file and kind, with the imports and functions of the same file."""
+    source = cut(extraction.source_lines(load(spark, d, "files"), block_strings=False))
+    kinds = callgraph.call_kinds(extraction.call_sites(source), extraction.functions(source), extraction.imported_names(source))
+    return kinds.groupBy("path", "kind").agg(F.count("*").alias("n_calls"), F.countDistinct("name").alias("n_names"))
+
+
 def same_file_calls(spark, d):
     files, functions = load(spark, d, "files"), load(spark, d, "code_functions")
     table = cut(flow.function_lines(files, functions))
     return extraction.same_file_edges(extraction.call_sites(extraction.source_lines(files)), table, functions)
 
 
-QUERIES = {f.__name__: f for f in (dirty_diff, dirty_counts, state_merge, state_clear, notify_batches, stream_first_notices, stream_daily, cache_probe, cache_misses, content_groups, asof_last_signup, source_declarations, source_imports, source_functions, source_functions_per_file, source_import_roots, source_import_names, source_calls, same_file_calls)}
+QUERIES = {f.__name__: f for f in (dirty_diff, dirty_counts, state_merge, state_clear, notify_batches, stream_first_notices, stream_daily, cache_probe, cache_misses, content_groups, asof_last_signup, source_declarations, source_imports, source_functions, source_functions_per_file, source_import_roots, source_import_names, source_calls, source_call_kinds, same_file_calls)}
 
 _S = "s AS (SELECT path, coalesce(hash, '') AS hash, coalesce(is_dirty, false) AS is_dirty, coalesce(last_seen, -1) AS last_seen FROM file_state WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY coalesce(last_seen, -1) DESC, coalesce(is_dirty, false) DESC, coalesce(hash, '') DESC) = 1)"
 _DIFF = f"""WITH {_S}, n AS (SELECT path, max(sha256(coalesce(content, ''))) AS current FROM files WHERE path IS NOT NULL GROUP BY 1),

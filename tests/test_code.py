@@ -177,3 +177,20 @@ def test_functions(spark, rows):
         ("a", 2, "A", "f", "(self, x=(1, 2))", True), ("a", 3, "A", "inner", "(a)", False), ("a", 6, "A", "g", "( self, y: int, )", False), ("a", 13, "", "top", "()", False), ("b", 3, "T", "F", "(a int)", False), ("b", 7, "", "G", "()", False),
         ("c", 2, "B", "m", "(a: number)", False), ("c", 7, "", "k", "(x: number)", True), ("d", 2, "S", "n", "(&self)", False), ("e", 2, "C", "none", "()", False),
     ]
+
+
+def test_call_kinds(spark, rows):
+    sites = spark.createDataFrame([("a.py", 1, "", "own"), ("a.py", 2, "", "one"), ("a.py", 3, "", "len"), ("a.py", 4, "", "far"), ("a.py", 5, "np", "zeros"), ("a.py", 6, "self", "own"), ("a.py", 7, "Shape", "area"), ("a.py", 8, "x.y", "z"), ("b.go", 9, "", "one")], "path string, line_no int, base string, name string")
+    functions = spark.createDataFrame([("a.py", "own", 3), ("a.py", "own", 9)], "path string, name string, line_no int")
+    names = spark.createDataFrame([("a.py", 1, "uno", "one"), ("a.py", 1, "numpy", "np"), ("a.py", 2, "zz", "one")], "path string, line_no int, name string, alias string")
+    assert [(r.line_no, r.kind, r.source) for r in cg.call_kinds(sites, functions, names).orderBy("line_no").collect()] == [
+        (1, "local", None), (2, "imported", "uno"), (3, "builtin", None), (4, "external", None), (5, "module", "numpy"), (6, "method", None), (7, "instance", None), (8, "attribute", None), (9, "external", None),
+    ]
+    assert cg.call_kinds(sites.where("false"), functions, names).count() == 0
+
+
+def test_reach_without_a_bound(spark):
+    n = 70
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(n)] + [(f"n{n}", "n0")], "src string, dst string").coalesce(1)
+    seeds = spark.createDataFrame([("n0",)], "start string")
+    assert cg.reach(edges, seeds).agg(F.max("depth")).first()[0] == n
