@@ -296,8 +296,8 @@ def _annotated(tokens: list[tuple[str, str, bool]], at: int) -> bool:
     return before in ("(", ",") and at + 1 < len(tokens) and tokens[at + 1][0] in ("id", "kw")
 
 
-#: Tokens that a foreign grammar reads before it takes a whole file.
-GLANCE = 60
+#: After so many tokens a foreign grammar looks whether they break a rule already.
+GLANCES = (60, 240, 960)
 
 
 def check(text: str, language: str, foreign: bool = False) -> str:
@@ -305,16 +305,16 @@ def check(text: str, language: str, foreign: bool = False) -> str:
 
     A grammar foreign to the file gives up within its first tokens if they already break a rule, which is the same verdict.
     """
-    text = text.removeprefix("﻿").replace("\r\n", "\n")
+    text = text.removeprefix("﻿")
+    text = text.replace("\r\n", "\n") if "\r" in text else text
     if language == "python":
         return check_python(text)
     if language == "php":
         return check_php(text)
     if language == "c":
-        marker = re.search(_CONFLICT, _BLOCK_OR_STRING.sub(" ", text), re.M)
-        if marker:
+        if _MARKER.search(text) and _MARKER.search(_BLOCK_OR_STRING.sub(" ", text)):
             return "conflict marker"
-        text = _DIRECTIVE.sub("", text)
+        text = _DIRECTIVE.sub("", text) if "#" in text else text
     why = _check_text(text, language, foreign)
     if why and language in ("javascript", "typescript") and _JSX.search(text):
         plain = without_elements(text)
@@ -324,9 +324,11 @@ def check(text: str, language: str, foreign: bool = False) -> str:
 
 def _check_text(text: str, language: str, foreign: bool) -> str:
     stream = lex(text, language)
-    tokens = list(islice(stream, GLANCE))
-    if foreign and len(tokens) == GLANCE and (why := check_tokens(tokens, language, partial=True)):
-        return why
+    tokens: list[tuple[str, str, bool]] = []
+    for size in GLANCES if foreign else ():
+        tokens += islice(stream, size - len(tokens))
+        if len(tokens) == size and (why := check_tokens(tokens, language, partial=True)):
+            return why
     tokens += stream
     why = check_tokens(tokens, language) or grammar.check(tokens, language)
     return why or (_end_stack(tokens) if language == "ruby" else "")
@@ -402,6 +404,7 @@ def without_elements(text: str) -> str:
     return "".join([*out, text[done:]])
 
 
+_MARKER = re.compile(_CONFLICT, re.M)
 _BLOCK_OR_STRING = re.compile("|".join([_LINE, _BLOCK, _D, _S]))
 
 #: Tokens typical of one language, for ranking: texts of which the pattern needs one, and the pattern.
