@@ -109,16 +109,23 @@ def declarations(source: DataFrame) -> DataFrame:
     return found.withColumn("kind", kind).where("kind is not null").select("path", "line_no", "kind", F.when(F.col("kind") == "class", F.col("class")).otherwise(F.col("interface")).alias("name"), F.regexp_replace(bases, r"\s+", "").alias("bases"))
 
 
+def _import_heads(source: DataFrame) -> DataFrame:
+    """The lines that begin as an import does, without the space around them: two cheap tests before all other patterns."""
+    begins = F.col("line").rlike(r"^\s*(?:(?:import|export|from|use|pub|require|require_relative|using|const|let|var)\b|#\s*include)")
+    return _with(source, IMPORTING).where(begins).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+
+
 def imports(source: DataFrame) -> DataFrame:
     """``path, line_no, module, is_from`` of each import: in one line, whatever its indentation, or over several (the lines of
     a block that name a module, each with its own number)."""
-    bare = source.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    heads = _import_heads(source)
     # The forms exclude each other, so a file with a wrong extension keeps its imports.
     module = F.coalesce(*[F.nullif(_first_group(F.col("line"))(p), F.lit("")) for p in dict.fromkeys(IMPORTS.values())])
-    single = _with(bare, IMPORTING).withColumn("module", module).where("module is not null").select("path", "line_no", "module", F.col("line").rlike(FROM_IMPORTS).alias("is_from"))
+    single = heads.withColumn("module", module).where("module is not null").select("path", "line_no", "module", F.col("line").rlike(FROM_IMPORTS).alias("is_from"))
     opens = _matches(OPENS)
     # Only files that open a block are sorted by their lines.
-    several = bare.join(bare.where(F.col("language").isin(list(MEMBER)) & opens).select("path").distinct(), "path", "left_semi")
+    opened = heads.where(F.col("language").isin(list(MEMBER)) & opens).select("path").distinct()
+    several = source.join(opened, "path", "left_semi").withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     state = F.when(opens, F.lit(True)).when(F.col("line").rlike(CLOSES), F.lit(False))
     inside = several.withColumn("open", F.last(state, True).over(w)).withColumn("module", _by_language(MEMBER, F.col("language"), lambda p: F.regexp_extract("line", p, 1))).where("open and module <> ''")
@@ -129,12 +136,12 @@ def imported_names(source: DataFrame) -> DataFrame:
     """``path, line_no, name, alias`` of each name that an import line brings in; the alias is the name without one. The names
     of a list over several lines belong to the line that opens it."""
     w = Window.partitionBy("path").orderBy("line_no")
-    bare = source.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    listed = bare.join(bare.where(_matches(OPENS)).select("path").distinct(), "path", "left_semi").withColumn("at", F.last(F.when(_matches(OPENS), F.col("line_no")), True).over(w))
+    heads = _import_heads(source)
+    listed = source.join(heads.where(_matches(OPENS)).select("path").distinct(), "path", "left_semi").withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).withColumn("at", F.last(F.when(_matches(OPENS), F.col("line_no")), True).over(w))
     ended = F.max(F.when((F.col("line_no") > F.col("at")) & F.col("line").rlike(CLOSES), 1).otherwise(0)).over(Window.partitionBy("path", "at").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
     # A list is as long as one statement.
     joined = listed.where("at is not null").withColumn("ended", ended).where("coalesce(ended, 0) = 0 and language <> 'go'").groupBy("path", "language", F.col("at").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("line"))
-    whole = _with(bare, IMPORTING).where(~_matches(OPENS)).select("path", "language", "line_no", "line").unionByName(joined)
+    whole = heads.where(~_matches(OPENS)).select("path", "language", "line_no", "line").unionByName(joined)
     groups = _by_language(NAMED, F.col("language"), lambda p: F.concat(F.regexp_extract("line", p, 1), F.regexp_extract("line", p, 2) if p.count("|^") else F.lit("")))
     each = whole.withColumn("names", groups).where("names <> ''").select("path", "line_no", F.explode(F.split("names", ",")).alias("n")).withColumn("n", F.trim("n"))
     name = F.regexp_extract("n", r"^(\*|[\w$.]+)", 1)
