@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,11 +43,27 @@ def index_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.agg(F.count("*").alias("n_vectors"), F.max(size).alias("dimension"), F.count_if(F.abs(norm(F.col(embedding)) - 1) < 1e-3).alias("n_unit"))
 
 
-def _unit_rows(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.array([v is not None and len(v) == width and all(x is not None for x in v) for v in vectors], dtype=bool)
-    rows = np.array([v for v, k in zip(vectors, keep, strict=True) if k], dtype=np.float64).reshape(int(keep.sum()), width)
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    return keep, np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
+def _unit_rows(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have the width and no null, and those at length 1, from the array's own buffer."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    keep = lengths == width
+    chosen = vectors.filter(pa.array(keep))
+    flat = chosen.flatten()
+    if flat.null_count and width:
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).all(axis=1)
+        keep[np.flatnonzero(keep)[~whole]] = False
+        flat = chosen.filter(pa.array(whole)).flatten()
+    rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(keep.sum()), width)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return keep, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of one query, by score and then id: only what reaches the k-th score is sorted."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    return np.lexsort((ids, -scores))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", digits: int = 6) -> DataFrame:
@@ -54,14 +71,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     Each task multiplies its batch of vectors with the block of queries and keeps its k best for each query; only these
     are shuffled. Queries beyond the size bound are answered block by block. Equal scores (after rounding) rank by id.
-    Null vectors, and those of another length than the queries, take no part; vectors without a length score 0.
-    Raises ValueError if k is not positive.
+    Null vectors, and those of another width than the queries, take no part; vectors without a length score 0.
+    Raises ValueError if k is not positive or the queries differ in width.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(embedding).alias("v")).where("query_id is not null and v is not null")
-    widest = asked.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
+    widest = asked.agg(F.max(F.size("v")).alias("width"), F.min(F.size("v")).alias("least"), F.count("*").alias("n")).first()
     width = widest["width"] or 0
+    if (widest["least"] or 0) != width:
+        raise ValueError(f"query vectors of {widest['least']} and of {width} components")
     block = max(1, QUERY_BYTES // (8 * max(1, width)))
     n_blocks = -(-max(1, widest["n"]) // block)
     spark = vectors.sparkSession
@@ -71,21 +90,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     answers = []
     for number in range(n_blocks):
         part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
-        rows = part.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull())).collect()
-        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], _unit_rows([r["v"] for r in rows], width)[1]))
+        rows = part.where(~F.exists("v", lambda x: x.isNull())).collect()
+        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], _unit_rows(pa.array([r["v"] for r in rows], type=pa.list_(pa.float64())), width)[1]))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, matrix = held.value
             best_scores = np.full((len(names), 0), -np.inf)
             best_ids = np.empty((len(names), 0), dtype=object)
             for batch in batches:
-                keep, units = _unit_rows(batch.column(1).to_pylist(), width)
+                keep, units = _unit_rows(batch.column(1), width)
                 if not len(units) or not names:
                     continue
-                found = np.array([x for x, y in zip(batch.column(0).to_pylist(), keep, strict=True) if y], dtype=object)
+                found = np.array(batch.column(0).filter(pa.array(keep)).to_pylist(), dtype=object)
                 scores = np.concatenate([best_scores, np.round(matrix @ units.T, digits) + 0.0], axis=1)
                 ids = np.concatenate([best_ids, np.broadcast_to(found, (len(names), len(found)))], axis=1)
-                order = np.array([np.lexsort((i, -s))[:k] for i, s in zip(ids, scores, strict=True)])
+                order = np.array([_best(s, i, k) for i, s in zip(ids, scores, strict=True)])
                 best_scores, best_ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
             n = best_scores.shape[1]
             out = [x for x in names for _ in range(n)], best_ids.ravel().tolist(), best_scores.ravel().tolist()

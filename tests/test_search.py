@@ -74,3 +74,10 @@ def test_norms_upsert_delete(spark, rows, axes):
     changes = spark.createDataFrame([(2, 20), (2, 21), (3, 3)], "vec_id int, label int")
     assert rows(v.upsert(index, changes)) == [(1, 1), (2, 21), (3, 3)]
     assert rows(v.delete(index, changes)) == [(1, 1)]
+
+
+def test_queries_of_two_widths_are_refused(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, None]), (4, None), (5, [1.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="components"):
+        v.top_k(index, index.where("vec_id in (1, 5)"), 2)
+    assert [(r.id, r.rank) for r in v.top_k(index, index.where("vec_id = 1"), 1).collect()] == [(1, 1)]
