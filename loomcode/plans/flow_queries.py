@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomcode.operators import flow, text_search
-from loomcode.session import cut, load
+from loomcode.session import cut, load, store
 
 
 def _lines(spark, d):
@@ -45,8 +45,7 @@ def def_use_chains(spark, d):
 
 
 def reaching_defs(spark, d):
-    table = cut(_lines(spark, d))
-    return flow.reaching_definitions(flow.flow_edges(table), cut(flow.references(table)))
+    return flow.reaching_definitions_of(store(_lines(spark, d)))
 
 
 def _dependence(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +66,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint in the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """As :func:`cut` for a large table that is read several times: compressed columns in the same folder, where a checkpoint
+    holds rows as they lie in memory."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
