@@ -8,22 +8,17 @@ in Python, one function at a time.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomcode.functions.arrow import map_runs
-from loomcode.session import cut
 
-#: Edges of a closure are squared while they have at most so many times the rows they had.
-SQUARED = 8
-#: After so many steps of a frontier what was found is written as one, so that the plan stays short however many follow.
-FOLD = 60
 #: Definitions on their way are held in at most so many bits for all lines of a function (64 MB), however long it is.
 STATE = 1 << 29
 # What a line starts with, and words that are no variables.
@@ -257,11 +252,19 @@ def _reached(func: str, lines: list, targets: list, names: list) -> Iterator[tup
 def dependence_edges(table: DataFrame, data: DataFrame) -> DataFrame:
     """``func, src, dst, dep, label``: control edges from the line that holds a block to each of its lines, data edges from
     definitions to uses; no line depends on itself."""
+    control = _with_control(table).where("src is not null").select("func", "src", F.col("line_no").alias("dst"), F.lit("control").alias("dep"), F.lit("").alias("label"))
+    flows = data.where("def_line <> use_line").select("func", F.col("def_line").alias("src"), F.col("use_line").alias("dst"), F.lit("data").alias("dep"), F.col("var").alias("label"))
+    return control.unionByName(flows)
+
+
+def _with_control(table: DataFrame, *kept: str) -> DataFrame:
+    """``func, line_no, src`` and the columns to keep, partitioned and sorted by function; ``src`` is the line that holds the
+    block of a line, null at the head."""
     behind = Window.partitionBy("func", "first_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     above = F.array(*[F.last(F.when(F.col("level") == n, F.col("line_no")), True).over(behind) for n in range(deepest(table))])
-    control = table.select("func", "first_line", "line_no", "level").repartition("func").withColumn("above", above).where("level > 0").select("func", F.get(F.reverse(F.filter(F.slice("above", F.lit(1), F.col("level")), lambda x: x.isNotNull())), F.lit(0)).alias("src"), F.col("line_no").alias("dst"), F.lit("control").alias("dep"), F.lit("").alias("label"))
-    flows = data.where("def_line <> use_line").select("func", F.col("def_line").alias("src"), F.col("use_line").alias("dst"), F.lit("data").alias("dep"), F.col("var").alias("label"))
-    return control.where("src is not null").unionByName(flows)
+    holder = F.get(F.reverse(F.filter(F.slice("above", F.lit(1), F.col("level")), lambda x: x.isNotNull())), F.lit(0))
+    t = table.select("func", "first_line", "line_no", "level", *kept).repartition("func").withColumn("above", above)
+    return t.select("func", "line_no", F.when(F.col("level") > 0, holder).alias("src"), *kept)
 
 
 def line_dependencies(edges: DataFrame) -> DataFrame:
@@ -274,24 +277,58 @@ def slices(edges: DataFrame, criteria: DataFrame, backward: bool = True, var: st
     """``func, line_no, slice_line``: the lines that a criterion ``func, line_no`` depends on, or that depend on it.
 
     Control edges always count, data edges only with the given variable if there is one. The criterion belongs to its slice.
-    Chains are followed to their ends.
+    Chains are followed to their ends. The edges and criteria of a function meet in one task, which holds one function at a time.
     """
     e = edges if var is None else edges.where((F.col("dep") == "control") | (F.col("label") == var))
     a, b = ("dst", "src") if backward else ("src", "dst")
-    hops = cut(e.select("func", F.col(a).alias("near"), F.col(b).alias("far")).distinct())
-    most = SQUARED * hops.count()
-    frontier = cut(criteria.select("func", "line_no", F.col("line_no").alias("slice_line")).distinct())
-    found, grows = frontier, True
-    for step in count(1):
-        following = frontier.join(hops.withColumnRenamed("near", "slice_line"), ["func", "slice_line"]).select("func", "line_no", F.col("far").alias("slice_line")).distinct()
-        frontier = cut(following.join(found, ["func", "line_no", "slice_line"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
-        found = found if step % FOLD else cut(found)
-        if grows:
-            # Twice the hops a step, as long as that many edges stay in proportion to the input.
-            twice = hops.unionByName(hops.withColumnRenamed("far", "mid").join(hops.withColumnRenamed("near", "mid"), ["func", "mid"]).select("func", "near", "far")).distinct()
-            twice = cut(twice)
-            grows = twice.count() <= most
-            hops = twice if grows else hops
+    row = lambda df, line, far: df.select("func", F.col(line).cast("int").alias("line_no"), far.cast("int").alias("far"))
+    return map_runs(row(e, a, F.col(b)).unionByName(row(criteria, "line_no", F.lit(None))), "func", _sliced, "func string, line_no int, slice_line int")
+
+
+def _sliced(func: str, lines: list, fars: list) -> Iterator[tuple]:
+    """The slices of one function's criteria, which are the rows without a far end."""
+    follows, criteria = defaultdict(set), set()
+    for line, far in zip(lines, fars, strict=True):
+        criteria.add(line) if far is None else follows[line].add(far)
+    for criterion in criteria:
+        for line in _followed(follows, criterion):
+            yield func, criterion, line
+
+
+def _followed(follows: dict[int, set], line: int) -> set:
+    found, ahead = {line}, [line]
+    while ahead:
+        fresh = follows.get(ahead.pop(), set()) - found
+        found |= fresh
+        ahead += fresh
+    return found
+
+
+def slices_of_last(table: DataFrame) -> DataFrame:
+    """The backward :func:`slices` of the last line of each function by control and nearest definitions. Lines move once, with
+    their references; the table is read twice, so it should be a written one."""
+    t = _with_control(_with_references(table), "found")
+    control = F.array(F.struct(F.coalesce(F.col("src").cast("int"), F.lit(0)).alias("to"), F.lit(None).cast("string").alias("var")))
+    refs = F.transform("found", lambda r: F.struct(F.when(r["is_def"], -1).otherwise(-2).alias("to"), r["var"].alias("var")))
+    return map_runs(t.select("func", "line_no", F.explode(F.concat(control, refs)).alias("r")).select("func", "line_no", "r.*"), "func", _sliced_last, "func string, line_no int, slice_line int", met=True)
+
+
+def _sliced_last(func: str, lines: list, targets: list, names: list) -> Iterator[tuple]:
+    """A row without a name is a line with the line that holds its block, or 0; with one a definition at -1, a use at -2."""
+    follows, defined, used = defaultdict(set), defaultdict(set), set()
+    last = 0
+    for line, to, name in zip(lines, targets, names, strict=True):
+        if name is None:
+            last = max(last, line)
+            if to:
+                follows[line].add(to)
+        elif to == -1:
+            defined[name].add(line)
+        else:
+            used.add((name, line))
+    above = {name: sorted(x) for name, x in defined.items()}
+    for name, line in used:
+        if k := bisect_left(above.get(name, ()), line):
+            follows[line].add(above[name][k - 1])
+    for line in _followed(follows, last):
+        yield func, last, line

@@ -49,23 +49,21 @@ def reaching_defs(spark, d):
 
 
 def _dependence(spark, d):
-    table = cut(_lines(spark, d))
-    return table, cut(flow.dependence_edges(table, flow.nearest_definitions(flow.references(table))))
+    table = store(_lines(spark, d))
+    return table, flow.dependence_edges(table, flow.nearest_definitions(flow.references(table)))
 
 
 def pdg_edges(spark, d):
-    return _dependence(spark, d)[1]
+    return cut(_dependence(spark, d)[1])
 
 
 def pdg_line_dependencies(spark, d):
-    return flow.line_dependencies(_dependence(spark, d)[1])
+    return flow.line_dependencies(cut(_dependence(spark, d)[1]))
 
 
 def slice_backward(spark, d):
     """What the last line of every function depends on, as line ranges."""
-    table, edges = _dependence(spark, d)
-    last = table.groupBy("func").agg(F.max("line_no").alias("line_no"))
-    return text_search.line_ranges(flow.slices(edges, last), "func", "slice_line")
+    return text_search.line_ranges(flow.slices_of_last(store(_lines(spark, d))).repartition("func"), "func", "slice_line")
 
 
 def slice_forward(spark, d):

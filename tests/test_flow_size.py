@@ -26,7 +26,7 @@ def _input() -> int:
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["reaching_defs"])
+@pytest.mark.parametrize("name", ["reaching_defs", "slice_backward"])
 def test_less_than_the_input_is_kept(spark, name):
     before = _written(spark)
     assert catalogue.QUERIES[name](spark, SMALL).count()
@@ -90,3 +90,33 @@ def test_runs_over_batches(spark, rows):
     assert rows(map_runs(table, "k", lambda k, n: [(k, len(n), sum(n))], "k string, rows bigint, total bigint")) == sorted((tuple(r) for r in table.groupBy("k").agg({"n": "count", "*": "count"}).select("k", "count(n)").join(table.groupBy("k").sum("n"), "k").collect()), key=repr)
     assert map_runs(table, "k", lambda k, n: ((k, x) for x in n), "k string, n bigint").count() == 30_000
     assert map_runs(table.where("false"), "k", lambda k, n: [(k,)], "k string").count() == 0
+
+
+def test_slices_in_partitions(spark, rows):
+    """As by steps on each function, forward and backward from several lines; nothing is written on the way."""
+    graphs = _graphs(300)
+    edges = spark.createDataFrame([(f, s, d, "data", "x") for f, e, _, _ in graphs for s, d in e], "func string, src int, dst int, dep string, label string")
+    criteria = spark.createDataFrame([(f, x) for f, _, _, lines in graphs for x in lines[-2:]], "func string, line_no int")
+    for backward in (True, False):
+        before = _written(spark)
+        found = rows(flow.slices(edges.repartition("func").distinct(), criteria.repartition("func").distinct(), backward))
+        assert _written(spark) == before
+        expected = set()
+        for f, e, _, lines in graphs:
+            for start in lines[-2:]:
+                seen, ahead = {start}, [start]
+                while ahead:
+                    at = ahead.pop()
+                    fresh = {(s if backward else d) for s, d in e if (d if backward else s) == at} - seen
+                    seen |= fresh
+                    ahead += fresh
+                expected |= {(f, start, x) for x in seen}
+        assert found == sorted(expected, key=repr)
+
+
+def test_slice_of_the_last_line():
+    """A use depends on the last definition above it, not on one of its own line; a block on the line that holds it."""
+    rows = [(1, 0, None), (2, 1, None), (3, 1, None), (4, 3, None), (5, 1, None), (1, -1, "n"), (2, -1, "x"), (4, -1, "x"), (4, -2, "x"), (5, -2, "x"), (3, -2, "y")]
+    assert sorted(flow._sliced_last("f", *map(list, zip(*rows, strict=True)))) == [("f", 5, k) for k in (1, 2, 3, 4, 5)]
+    rows = [r for r in rows if r[0] != 4]
+    assert sorted(flow._sliced_last("f", *map(list, zip(*rows, strict=True)))) == [("f", 5, k) for k in (1, 2, 5)]
