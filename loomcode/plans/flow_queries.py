@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomcode.operators import flow, text_search
 from loomcode.session import cut, load, store
@@ -30,10 +31,11 @@ def cfg_blocks(spark, d):
 
 def slice_source(spark, d):
     """The lines of every function with a mark for those that its last line depends on."""
-    table, edges = _dependence(spark, d)
-    last = table.groupBy("func").agg(F.max("line_no").alias("line_no"))
-    marked = flow.slices(edges, last).select("func", F.col("slice_line").alias("line_no"), F.lit(True).alias("marked"))
-    return table.join(marked, ["func", "line_no"], "left").select("func", "line_no", F.coalesce("marked", F.lit(False)).alias("in_slice"), "text")
+    table = store(_lines(spark, d))
+    marks = flow.slices_of_last(table).select("func", F.col("slice_line").alias("line_no"), F.lit(None).cast("string").alias("text"))
+    # Marks meet their lines by function, not by line: rows of one function lie together and are small when shuffled.
+    met = table.select("func", "line_no", "text").unionByName(marks).repartition("func")
+    return met.withColumn("in_slice", F.max(F.col("text").isNull()).over(Window.partitionBy("func", "line_no"))).where("text is not null").select("func", "line_no", "in_slice", "text")
 
 
 def dfg_refs(spark, d):

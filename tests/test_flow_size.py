@@ -26,7 +26,7 @@ def _input() -> int:
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["reaching_defs", "slice_backward"])
+@pytest.mark.parametrize("name", ["reaching_defs", "slice_backward", "slice_source"])
 def test_less_than_the_input_is_kept(spark, name):
     before = _written(spark)
     assert catalogue.QUERIES[name](spark, SMALL).count()
